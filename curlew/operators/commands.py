@@ -10,67 +10,70 @@ from curlew.functions.scalars import OOV, keep_known_device
 DEFAULT_TOP_K = 10
 
 
-def _field(path: str) -> Column:
-    return F.try_variant_get("_json", f"$.{path}", "variant")
+_FIELDS = ("user_id", "device_type", "timestamp", "top_k", "flush", "mark_seen")
+_SCHEMA = ", ".join([*[f"{c} VARIANT" for c in _FIELDS], "_corrupt STRING"])
 
 
-def _kind(path: str) -> Column:
-    """Type name of a JSON field; null when it is absent or JSON null."""
-    return F.nullif(F.schema_of_variant(_field(path)), F.lit("VOID"))
+def _text(field: str) -> Column:
+    """JSON text of a parsed field: quoted for strings; null when it is absent or JSON null."""
+    return F.nullif(F.to_json(F.col(f"_body.{field}")), F.lit("null")).alias(f"_{field}")
 
 
-def _is_number(kind: Column) -> Column:
-    return kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)")
-
-
-def _whole_number(path: str) -> Column:
-    """Whole number of a JSON field: numbers are cut, integer text is parsed, anything else is null."""
-    kind = _kind(path)
+def _whole_number(field: str) -> Column:
+    """Numbers are cut, integer strings are parsed, booleans count as 0 and 1; anything else is null."""
+    text = F.col(f"_{field}")
+    inner = F.trim(F.expr(f"substring(_{field}, 2, length(_{field}) - 2)"))
     return (
-        F.when(kind == "BIGINT", F.try_variant_get("_json", f"$.{path}", "bigint"))
-        .when(_is_number(kind), F.try_variant_get("_json", f"$.{path}", "double").try_cast("bigint"))
-        .when(kind == "STRING", F.trim(F.try_variant_get("_json", f"$.{path}", "string")).try_cast("bigint"))
-        .when(kind == "BOOLEAN", F.try_variant_get("_json", f"$.{path}", "boolean").cast("bigint"))
+        F.when(text.startswith('"'), inner.try_cast("bigint"))
+        .when(text.isin("true", "false"), (text == "true").cast("bigint"))
+        .otherwise(F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint")))
     )
 
 
-def _truthy(path: str) -> Column:
-    kind = _kind(path)
-    text = F.try_variant_get("_json", f"$.{path}", "string")
-    return F.coalesce(
-        F.when(kind == "BOOLEAN", F.try_variant_get("_json", f"$.{path}", "boolean"))
-        .when(_is_number(kind), F.try_variant_get("_json", f"$.{path}", "double") != 0)
-        .when(kind == "STRING", F.length(text) > 0)
-        .when(kind.isNotNull(), ~F.to_json(_field(path)).isin("[]", "{}")),
-        F.lit(False),
-    )
+def _truthy(field: str) -> Column:
+    """Empty strings, lists and objects, zero, false and null are false; everything else is true."""
+    text = F.col(f"_{field}")
+    empty = text.isin("false", '""', "[]", "{}") | (F.coalesce(text.try_cast("double"), F.lit(1.0)) == 0)
+    return F.coalesce(~empty, F.lit(False))
 
 
 def parse_records(raw: DataFrame, body: str) -> DataFrame:
+    """Typed command fields of every record, with the reason where it has to be rejected."""
     text = F.when(F.coalesce(F.length(body), F.lit(0)) == 0, F.lit("{}")).otherwise(F.col(body))
-    json = raw.withColumn("_json", F.try_parse_json(text))
-    has_user, has_k = _kind("user_id").isNotNull(), F.schema_of_variant(_field("top_k")).isNotNull()
-    device_ok = keep_known_device(_whole_number("device_type"))
+    parsed = F.from_json(text, _SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    is_object = text.rlike(r"^\s*\{") & text.rlike(r"\}\s*$") & F.col("_body._corrupt").isNull()
+    fields = raw.withColumn("_body", parsed).select(
+        *raw.columns,
+        is_object.alias("_is_object"),
+        *[_text(c) for c in _FIELDS],
+        F.try_variant_get(F.col("_body.mark_seen"), "$", "array<bigint>").alias("mark_seen"),
+        # An explicit null differs from an absent field for this one only.
+        (F.col("_body.top_k").isNotNull()).alias("_has_top_k"),
+    )
+    typed = fields.select(
+        *raw.columns, "_is_object", "_has_top_k", "_mark_seen", (F.col("_user_id").isNotNull()).alias("_has_user"),
+        _whole_number("user_id").alias("user_id"), _whole_number("device_type").alias("device_type"),
+        _whole_number("timestamp").alias("timestamp"), _whole_number("top_k").alias("top_k"),
+        _truthy("flush").alias("flush"), "mark_seen",
+    )
     reason = (
-        F.when(F.col("_json").isNull() | ~F.schema_of_variant("_json").startswith("OBJECT"), F.lit("invalid_json"))
-        .when(has_k & _whole_number("top_k").isNull(), F.lit("bad_top_k"))
-        .when(~has_user, F.lit("missing_user_id"))
-        .when(_whole_number("user_id").isNull(), F.lit("bad_user_id"))
-        .when(
-            _kind("mark_seen").isNotNull() & F.try_variant_get("_json", "$.mark_seen", "array<bigint>").isNull(),
-            F.lit("bad_mark_seen"),
-        )
+        F.when(~F.col("_is_object"), F.lit("invalid_json"))
+        .when(F.col("_has_top_k") & F.col("top_k").isNull(), F.lit("bad_top_k"))
+        .when(~F.col("_has_user"), F.lit("missing_user_id"))
+        .when(F.col("user_id").isNull(), F.lit("bad_user_id"))
+        .when(F.col("_mark_seen").isNotNull() & F.col("mark_seen").isNull(), F.lit("bad_mark_seen"))
     )
-    return json.select(
-        *raw.columns,
+    result = F.struct(
         reason.alias("reason"),
-        _whole_number("user_id").alias("user_id"),
-        F.coalesce(device_ok, F.lit(OOV)).alias("device_type"),
-        _whole_number("timestamp").alias("timestamp"),
-        F.coalesce(_whole_number("top_k"), F.lit(DEFAULT_TOP_K)).cast("int").alias("top_k"),
-        _truthy("flush").alias("flush"),
-        F.try_variant_get("_json", "$.mark_seen", "array<bigint>").alias("mark_seen"),
+        "user_id",
+        F.coalesce(keep_known_device(F.col("device_type")), F.lit(OOV)).alias("device_type"),
+        "timestamp",
+        F.coalesce("top_k", F.lit(DEFAULT_TOP_K)).cast("int").alias("top_k"),
+        "flush",
+        "mark_seen",
     )
+    # A generated row is parsed once: filters on the outcome cannot be pushed below it and repeat the parsing.
+    return typed.withColumn("_result", result).select(*raw.columns, F.inline(F.array("_result")))
 
 
 def parse_commands(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curlew.functions.hashing import hash32
@@ -38,8 +38,9 @@ def encode_text(texts: DataFrame, dim: int = TEXT_DIM, id_col: str = "item_id",
         "bucket", (F.ln((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")
     )
     weighted = counts.join(F.broadcast(idf), "bucket").withColumn("weight", F.col("tf") * F.col("idf"))  # dim rows
-    lengths = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    return weighted.join(lengths, id_col).select(id_col, "bucket", F.round(F.col("weight") / F.col("length"), 6).alias("weight"))
+    # A text has at most ``dim`` buckets, so the window holds a short group.
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(id_col)))
+    return weighted.select(id_col, "bucket", F.round(F.col("weight") / length, 6).alias("weight"))
 
 
 def dense_vectors(sparse: DataFrame, dim: int, id_col: str = "item_id") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curlew.operators.popularity import group_counts
+from curlew.session import store
 
 ALPHA, REGULARIZATION = 10.0, 0.1
 FOLD_ROWS = 2048
@@ -36,34 +37,47 @@ def fit_retrieval(interactions: DataFrame, rank: int = 64, seed: int = 42, itera
 def fold_in_users(item_vectors: DataFrame, interactions: DataFrame, alpha: float = ALPHA, reg: float = REGULARIZATION) -> DataFrame:
     """New user vectors against frozen item vectors: one regularised least-squares solve per user.
 
-    Each user's equations are sums over items, so they are added up in parts of bounded size first (a user with very
-    many items is cut into several parts) and solved from the sums.
+    Each user's equations are sums over items. They are added up over parts of bounded size (a user with very many
+    items is cut into several parts), and only the sums of the parts meet again.
     """
     dim = len(item_vectors.select("embedding").first()[0])
     gram = _gram(item_vectors, dim)
-    counts = group_counts(interactions, "user_id", "item_id").join(item_vectors, "item_id")
-    per_user = group_counts(interactions.select("user_id", "item_id").distinct(), "user_id").withColumnRenamed("n", "n_items")
-    parts = counts.join(per_user, "user_id").withColumn(
-        "part", F.pmod(F.xxhash64("item_id"), F.ceil(F.col("n_items") / FOLD_ROWS))
+    pairs = group_counts(interactions, "user_id", "item_id")
+    per_user = group_counts(pairs, "user_id").withColumnRenamed("n", "n_items")
+    part = F.pmod(F.xxhash64("item_id"), F.ceil(F.col("n_items") / FOLD_ROWS))
+    members = F.collect_list(F.struct("n", "embedding")).alias("members")
+    parts = (
+        pairs.join(item_vectors, "item_id")
+        .join(per_user, "user_id")
+        .groupBy("user_id", part.alias("part"))
+        .agg(members)
+        .select("user_id", F.col("members.n").alias("counts"), F.flatten("members.embedding").alias("vectors"))
     )
 
-    def partial(key, rows: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.stack(rows.embedding.to_numpy()).astype(np.float64)
-        weight = alpha * rows.n.to_numpy(dtype=np.float64)
-        left = (vectors * weight[:, None]).T @ vectors
-        right = ((1.0 + weight)[:, None] * vectors).sum(axis=0)
-        return pd.DataFrame({"user_id": [key[0]], "lhs": [left.ravel()], "rhs": [right], "n": [len(rows)]})
-
-    def solve(key, sums: pd.DataFrame) -> pd.DataFrame:
-        left = gram + np.stack(sums.lhs.to_numpy()).sum(axis=0).reshape(dim, dim)
-        left += reg * float(sums.n.sum()) * np.eye(dim)
-        vector = np.linalg.solve(left, np.stack(sums.rhs.to_numpy()).sum(axis=0))
-        return pd.DataFrame({"user_id": [key[0]], "qvec": [vector.astype(np.float32)]})
-
-    sums = parts.select("user_id", "part", "n", "embedding").groupBy("user_id", "part").applyInPandas(
-        partial, "user_id bigint, lhs array<double>, rhs array<double>, n bigint"
+    def add_up(batches):
+        for batch in batches:
+            lhs, rhs, n = [], [], []
+            for counts, flat in zip(batch.counts, batch.vectors):
+                vectors = np.asarray(flat, dtype=np.float64).reshape(len(counts), dim)
+                weight = alpha * np.asarray(counts, dtype=np.float64)
+                lhs.append(((vectors * weight[:, None]).T @ vectors).ravel())
+                rhs.append((1.0 + weight) @ vectors)
+                n.append(len(counts))
+            yield pd.DataFrame({"user_id": batch.user_id, "lhs": lhs, "rhs": rhs, "n": n})
+
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for left, right, n in zip(batch.lhs, batch.rhs, batch.n):
+                equations = gram + np.sum(np.stack(left), axis=0).reshape(dim, dim) + reg * float(n) * np.eye(dim)
+                out.append(np.linalg.solve(equations, np.sum(np.stack(right), axis=0)).astype(np.float32))
+            yield pd.DataFrame({"user_id": batch.user_id, "qvec": out})
+
+    sums = parts.mapInPandas(add_up, "user_id bigint, lhs array<double>, rhs array<double>, n bigint")
+    per_part = sums.groupBy("user_id").agg(
+        F.collect_list("lhs").alias("lhs"), F.collect_list("rhs").alias("rhs"), F.sum("n").alias("n")
     )
-    return sums.groupBy("user_id").applyInPandas(solve, "user_id bigint, qvec array<float>")
+    return per_part.mapInPandas(solve, "user_id bigint, qvec array<float>")
 
 
 def _gram(item_vectors: DataFrame, dim: int) -> np.ndarray:
@@ -87,6 +101,8 @@ def _gram(item_vectors: DataFrame, dim: int) -> np.ndarray:
 def fit_ranker(rows: DataFrame, categorical: list[str], continuous: list[str], label: str = "label", kind: str = "fm",
                buckets: int = 4096, seed: int = 42) -> PipelineModel:
     """Click model on encoded features: categories are hashed to a fixed width, numbers scaled."""
+    # Each pass of the optimiser reads the rows again, so they are stored first.
+    rows = store(rows.select(label, *categorical, *continuous), "training")
     numbers = VectorAssembler(inputCols=continuous, outputCol="numbers", handleInvalid="keep")
     hashed = FeatureHasher(inputCols=categorical, categoricalCols=categorical, numFeatures=buckets, outputCol="hashed")
     scaled = StandardScaler(inputCol="numbers", outputCol="scaled")

@@ -29,10 +29,14 @@ def concat_days(*days: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, days)
 
 
-def mask(df: DataFrame, keys: list[str], p: float = 0.05, seed: int = 42) -> DataFrame:
-    """Anonymise a share of rows: user, gender and category together, the device independently; age is kept."""
-    marked = df.withColumn("_hide_user", uniform(*keys, seed=f"{seed}:user") < p).withColumn(
-        "_hide_device", uniform(*keys, seed=f"{seed}:device") < p
+def mask(df: DataFrame, keys: list[str], p: float = 0.05, seed: int = 42, where: Column | None = None) -> DataFrame:
+    """Anonymise a share of rows: user, gender and category together, the device independently; age is kept.
+
+    Rows outside ``where`` stay as they are.
+    """
+    eligible = F.lit(True) if where is None else where
+    marked = df.withColumn("_hide_user", eligible & (uniform(*keys, seed=f"{seed}:user") < p)).withColumn(
+        "_hide_device", eligible & (uniform(*keys, seed=f"{seed}:device") < p)
     )
 
     def hidden(column: str, flag: str) -> Column:

@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curlew.functions.arrays import norm, zeros
-from curlew.session import cut_lineage
+from curlew.session import cut_lineage, store
 
 ITEM_BLOCK = 2048
 QUERY_BLOCK = 512
-# Up to this many item vectors are packed and broadcast (64 floats each: 8 MB); the count is taken first.
-BROADCAST_ITEMS = 32_768
+# Item vectors with up to this many numbers in all (8 MB) are packed and broadcast; they are counted first.
+BROADCAST_FLOATS = 2_097_152
 SCORE_DIGITS = 6
 
 _SCORED = "request_id bigint, item_id bigint, score double"
@@ -79,14 +79,14 @@ def _chunk(id_col: str, count: int, size: int):
     return F.pmod(F.xxhash64(id_col), F.lit(max(1, math.ceil(count / size)))).cast("int")
 
 
-def knn(queries: DataFrame, items: DataFrame, k: int = 300, item_limit: int = BROADCAST_ITEMS) -> DataFrame:
+def knn(queries: DataFrame, items: DataFrame, k: int = 300, float_limit: int = BROADCAST_FLOATS) -> DataFrame:
     """Exact top ``k`` items per query by inner product: ``(request_id, item_id, score, rank)``.
 
     ``queries`` has ``(request_id, qvec)`` and ``items`` has ``(item_id, embedding)``. A catalog of a checked small
     size meets every query block as a broadcast; a larger one goes through the inverted file with bounds.
     """
-    n_items = items.count()
-    if n_items > item_limit:
+    n_items, n_floats = items.agg(F.count("embedding"), F.sum(F.size("embedding"))).first()
+    if (n_floats or 0) > float_limit:
         return knn_bounded(queries, build_ivf(items, max(32, math.isqrt(n_items))), k)
     n_blocks = max(1, math.ceil(n_items / ITEM_BLOCK))
     blocks = _pack(items.withColumn("block", _chunk("item_id", n_items, ITEM_BLOCK)), ["block"], "item_id", "embedding", "i")
@@ -232,7 +232,8 @@ def remap_embeddings(vectors: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def pca(vectors: DataFrame, dim: int = 64, id_col: str = "item_id", vec_col: str = "embedding") -> DataFrame:
     """Reduce to ``dim`` principal components. Zero vectors (absent inputs) neither enter the fit nor get projected."""
-    rows = vectors.withColumn("_present", norm(F.col(vec_col)) > 0)
+    # Scaling, fitting and projecting each pass over the vectors, so they are stored first.
+    rows = store(vectors.select(id_col, vec_col, (norm(F.col(vec_col)) > 0).alias("_present")), "pca")
     present = rows.where("_present").select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("raw"))
     scaler = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="centred").fit(present)
     centred = scaler.transform(present)

@@ -22,7 +22,9 @@ from curlew.operators.rowindex import with_row_index
 # Fixed values of the code layout: 0 is padding, 1 null, 2 out of vocabulary; fitted values start at 3.
 NULL_CODE, OOV_CODE, FIRST_CODE = 1, 2, 3
 
-# A fitted column with at most this many values (16 bytes each) is broadcast when it is applied.
+# A fitted column with at most this many values is applied as an expression, with no join at all.
+MAP_VALUES = 256
+# With at most this many values (16 bytes each) it is broadcast.
 BROADCAST_VALUES = 250_000
 
 
@@ -147,10 +149,23 @@ def encode(df: DataFrame, column: str, vocabulary: DataFrame, small: bool = Fals
     if small:
         codes = F.broadcast(codes)
     raw = F.col(column).cast("bigint")
-    code = F.when(raw.isNull(), F.lit(NULL_CODE)).otherwise(F.coalesce("_code", F.lit(OOV_CODE))).cast("int")
+    code = _code_or_reserved(raw, F.col("_code"))
     return df.join(codes, raw == F.col("_value"), "left").withColumn(name or column, code).drop("_value", "_code")
 
 
+def _code_or_reserved(raw: Column, code: Column) -> Column:
+    return F.when(raw.isNull(), F.lit(NULL_CODE)).otherwise(F.coalesce(code, F.lit(OOV_CODE))).cast("int")
+
+
+def encode_by_map(column: str, codes: dict[int, int]) -> Column:
+    """Code of a column with few fitted values, as an expression."""
+    raw = F.col(column).cast("bigint")
+    if not codes:
+        return _code_or_reserved(raw, F.lit(None).cast("bigint"))
+    table = F.create_map(*[F.lit(x).cast("bigint") for pair in codes.items() for x in pair])
+    return _code_or_reserved(raw, F.try_element_at(table, raw))
+
+
 def decode(df: DataFrame, code_col: str, vocabulary: DataFrame, column: str, name: str, compat: bool = False,
            small: bool = False) -> DataFrame:
     """Raw value of a code; a code without a value gives NULL, or 0 in compatible mode."""
@@ -165,6 +180,7 @@ class FittedWorkflow:
     vocabulary: DataFrame
     moments: dict[str, tuple[float | None, float | None]]
     sizes: dict[str, int]
+    maps: dict[str, dict[int, int]]
 
     def small(self, column: str) -> bool:
         """Whether the fitted values of a column are few enough to broadcast."""
@@ -179,9 +195,11 @@ class FittedWorkflow:
             df = df.withColumns({name: standardize(rule(), *self.moments[name]) for name, rule in part.continuous.items()})
         # Kept input columns are set aside before encoding replaces values in place.
         df = df.withColumns({f"_keep_{c}": F.col(c) for c in keep})
-        for part in self.parts:
-            for column in part.categorical:
+        categorical = [c for part in self.parts for c in part.categorical]
+        for column in categorical:
+            if column not in self.maps:
                 df = encode(df, column, self.vocabulary, self.small(column))
+        df = df.withColumns({c: encode_by_map(c, self.maps[c]) for c in categorical if c in self.maps})
         kept = [F.col(f"_keep_{c}").alias(c) for c in keep]
         return df.select(*kept, *[self._tagged(c) for c in outputs if c not in keep])
 
@@ -205,20 +223,29 @@ class FittedWorkflow:
 
 
 def _fitted(parts: tuple[Part, ...], vocabulary: DataFrame, moments: DataFrame) -> FittedWorkflow:
-    """Keep the scalars (one row per column) at hand; the vocabulary stays a table."""
+    """Keep scalars and the codes of columns with few values at hand; the vocabulary stays a table."""
     sizes = {r.col: r.n for r in vocabulary.groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return FittedWorkflow(parts, vocabulary, {r.col: (r.mean, r.std) for r in moments.collect()}, sizes)
+    few = [c for part in parts for c in part.categorical if sizes.get(c, 0) <= MAP_VALUES]
+    maps: dict[str, dict[int, int]] = {c: {} for c in few}
+    for row in vocabulary.where(F.col("col").isin(few)).collect():
+        maps[row.col][row.value] = row.code
+    return FittedWorkflow(parts, vocabulary, {r.col: (r.mean, r.std) for r in moments.collect()}, sizes, maps)
 
 
 def fit(inputs: list[tuple[Part, DataFrame]]) -> FittedWorkflow:
-    """Fit each part on its own table and compose them."""
-    counts, moments = [], []
+    """Fit each part on its own table and compose them. Parts that share a table are fitted in one pass over it."""
+    tables: dict[int, tuple[DataFrame, list[Part]]] = {}
     for part, df in inputs:
-        derived = df.withColumns({name: rule() for name, rule in part.derive.items() if name in part.categorical})
-        if part.categorical:
-            counts.append(value_counts(derived, list(part.categorical)))
-        if part.continuous:
-            moments.append(fit_moments(derived, {name: rule() for name, rule in part.continuous.items()}))
+        tables.setdefault(id(df), (df, []))[1].append(part)
+    counts, moments = [], []
+    for df, parts in tables.values():
+        derived = df.withColumns({n: rule() for p in parts for n, rule in p.derive.items() if n in p.categorical})
+        categorical = [c for p in parts for c in p.categorical]
+        continuous = {n: rule() for p in parts for n, rule in p.continuous.items()}
+        if categorical:
+            counts.append(value_counts(derived, categorical))
+        if continuous:
+            moments.append(fit_moments(derived, continuous))
     vocabulary = assign_codes(reduce(DataFrame.unionByName, counts))
     return _fitted(tuple(part for part, _ in inputs), vocabulary, reduce(DataFrame.unionByName, moments))
 

@@ -9,6 +9,7 @@ from curlew.operators.joins import enrich, with_top_category
 from curlew.operators.popularity import top_category
 from curlew.operators.splits import clicked, mask, split_by_day
 from curlew.operators.workflow import CONTEXT, ITEM, TARGET, USER, FittedWorkflow, Part, fit
+from curlew.session import store
 
 WORKFLOW: tuple[Part, ...] = (ITEM, USER, CONTEXT, TARGET)
 
@@ -25,11 +26,21 @@ def fit_workflow(train: DataFrame, items: DataFrame) -> FittedWorkflow:
     return fit([(ITEM, items), (USER, train), (CONTEXT, train), (TARGET, train)])
 
 
+def processed_days(interactions: DataFrame, users: DataFrame, items: DataFrame, train_days: int = 9, valid_days: int = 3,
+                   mask_p: float = 0.05, seed: int = 42, keep: tuple[str, ...] = ()) -> tuple[DataFrame, FittedWorkflow]:
+    """Processed rows of both splits (column ``split``) and the fitted workflow.
+
+    The merged days are stored once, since fitting and transforming both read them; only training rows are masked.
+    """
+    merged = store(merged_days(interactions, users, items, train_days, valid_days), "merged")
+    in_train = F.col("split") == "train"
+    workflow = fit_workflow(merged.where(in_train), items)
+    masked = mask(merged, ["event_id"], mask_p, seed, where=in_train)
+    return workflow.transform(masked, ("split", *[c for c in keep if c != "split"])), workflow
+
+
 def preprocess(interactions: DataFrame, users: DataFrame, items: DataFrame, train_days: int = 9, valid_days: int = 3,
                mask_p: float = 0.05, seed: int = 42, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, FittedWorkflow]:
     """Processed training and validation rows, and the fitted workflow."""
-    merged = merged_days(interactions, users, items, train_days, valid_days)
-    train, valid = merged.where(F.col("split") == "train"), merged.where(F.col("split") == "valid")
-    workflow = fit_workflow(train, items)
-    masked = mask(train, ["event_id"], mask_p, seed)
-    return workflow.transform(masked, keep), workflow.transform(valid, keep), workflow
+    processed, workflow = processed_days(interactions, users, items, train_days, valid_days, mask_p, seed, keep)
+    return processed.where(F.col("split") == "train"), processed.where(F.col("split") == "valid"), workflow

@@ -16,7 +16,7 @@ from curlew.plans import preprocess as plan
 from curlew.queries.registry import query
 from curlew.queries.scans import TRAIN_DAYS, VALID_DAYS
 from curlew.queries.sql_views import latest, transform_sql, uniform
-from curlew.session import scratch_path
+from curlew.session import scratch_path, store
 from curlew.sources import views
 
 NOW = views.AS_OF_US // 1_000_000
@@ -27,7 +27,7 @@ def merged(spark, sf):
 
 
 def fitted(spark, sf):
-    rows = merged(spark, sf)
+    rows = store(merged(spark, sf), "merged")
     return plan.fit_workflow(rows.where(F.col("split") == "train"), views.items(spark, sf)), rows
 
 
@@ -295,8 +295,7 @@ FROM binned"""
 )
 def mask_rows(spark, sf):
     rows = merged(spark, sf).select("event_id", "user_id", "age", "gender", "top_category", "device_type", "split")
-    masked = mask(rows.where(F.col("split") == "train"), ["event_id"])
-    return masked.unionByName(rows.where(F.col("split") == "valid")).drop("split")
+    return mask(rows, ["event_id"], where=F.col("split") == "train").drop("split")
 
 
 def rounded(df):
@@ -305,10 +304,10 @@ def rounded(df):
 
 @query("workflow_transform", transform_sql(MASKED_SQL, "m.event_id, m.split"))
 def workflow_transform(spark, sf):
-    train, valid, _ = plan.preprocess(
-        views.ix(spark, sf), views.users(spark, sf), views.items(spark, sf), TRAIN_DAYS, VALID_DAYS, keep=("event_id", "split")
+    processed, _ = plan.processed_days(
+        views.ix(spark, sf), views.users(spark, sf), views.items(spark, sf), TRAIN_DAYS, VALID_DAYS, keep=("event_id",)
     )
-    return rounded(train.unionByName(valid))
+    return rounded(processed)
 
 
 FROZEN_SOURCE = """

@@ -16,6 +16,7 @@ from curlew.queries.behavior import flushes, touches
 from curlew.queries.features import fitted, fitted_default_age, online_users, requests
 from curlew.queries.registry import query
 from curlew.queries.sql_views import h32, seen_sql, uniform
+from curlew.session import store
 from curlew.sources import views
 
 K_RETRIEVE, K_RANK = 50, 10
@@ -40,7 +41,7 @@ def knn_exact(spark, sf):
 @query("knn_inverted_exact", KNN_SQL)
 def knn_inverted_exact(spark, sf):
     """The large-catalog path: inverted file with bounds instead of a broadcast."""
-    return vectors.knn(*queries_and_items(spark, sf), K_RETRIEVE, item_limit=0)
+    return vectors.knn(*queries_and_items(spark, sf), K_RETRIEVE, float_limit=0)
 
 
 @query("knn_ivf")
@@ -303,7 +304,8 @@ def labelled(spark, sf) -> tuple[workflow.FittedWorkflow, DataFrame]:
     context = rows.drop("item_id", *catalog.ITEM_FEATURES, "click")
     negatives = drawn.select("event_id", "item_id").join(context, "event_id").join(items, "item_id").withColumn("click", F.lit(0))
     both = rows.unionByName(negatives)
-    return model, model.transform(both, keep=("event_id", "split")).withColumn("label", F.col("click").cast("double"))
+    encoded = model.transform(both, keep=("event_id", "split")).withColumn("label", F.col("click").cast("double"))
+    return model, store(encoded, "labelled")
 
 
 @query("ranking_fm")
