@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curlew.functions.times import DAY, whole
+from curlew.functions.times import DAY
 
 YEAR_TTL = 365 * DAY
+# Rows of one key in one time slot that a single task takes; fuller slots are cut finer.
+HOT_ROWS = 2_000_000
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -37,20 +39,23 @@ def features_at(entities: DataFrame, history: DataFrame, keys: list[str], as_of:
 
 
 def asof_join(rows: DataFrame, history: DataFrame, keys: list[str], at: str, features: list[str], ts: str = "datetime",
-              created: str = "created", ttl: int = YEAR_TTL, bucket: int = DAY) -> DataFrame:
+              created: str = "created", ttl: int = YEAR_TTL, bucket: int = DAY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Attach to every row the newest feature row of its key with ``history.ts <= rows.at``.
 
     Time is cut into buckets so that no key has to be processed in one task: inside a (key, bucket) the feature rows
     and the rows are merged in time order, and what was last known before the bucket comes from a table with one row
-    per (key, bucket). Ties on time go to the newest ``created``.
+    per (key, bucket). Buckets with more than ``hot_rows`` rows are cut finer, in proportion to their size. Ties on
+    time go to the newest ``created``.
     """
+    rows, history = _with_buckets(rows, history, keys, at, ts, bucket, hot_rows)
+    columns = [c for c in rows.columns if c != "_bucket"]
     value = F.struct(F.col(ts).alias("feature_ts"), *features)
     facts = rows.select(
-        *keys, whole(F.col(at), bucket).alias("_bucket"), F.col(at).alias("_time"), F.lit(1).alias("_is_row"),
-        F.lit(None).cast("bigint").alias("_created"), F.struct(*rows.columns).alias("_row"),
+        *keys, "_bucket", F.col(at).alias("_time"), F.lit(1).alias("_is_row"),
+        F.lit(None).cast("bigint").alias("_created"), F.struct(*columns).alias("_row"),
     )
     changes = history.select(
-        *keys, whole(F.col(ts), bucket).alias("_bucket"), F.col(ts).alias("_time"), F.lit(0).alias("_is_row"),
+        *keys, "_bucket", F.col(ts).alias("_time"), F.lit(0).alias("_is_row"),
         F.col(created).cast("bigint").alias("_created"), value.alias("_value"),
     )
     merged = facts.unionByName(changes, allowMissingColumns=True)
@@ -74,11 +79,37 @@ def asof_join(rows: DataFrame, history: DataFrame, keys: list[str], at: str, fea
     joined = current.join(carried, [*keys, "_bucket"], "left").withColumn("_value", F.coalesce("_value", "_carried"))
     alive = F.col("_value.feature_ts") >= F.col(f"_row.{at}") - F.lit(ttl)
     return joined.select(
-        *[F.col(f"_row.{c}").alias(c) for c in rows.columns],
+        *[F.col(f"_row.{c}").alias(c) for c in columns],
         *[F.when(alive, F.col(f"_value.{c}")).alias(c) for c in ["feature_ts", *features]],
     )
 
 
+def _with_buckets(rows: DataFrame, history: DataFrame, keys: list[str], at: str, ts: str, bucket: int,
+                  hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Add ``_bucket``, the start of the time slot of each row, to both sides.
+
+    Slots are ``bucket`` wide, and narrower where a key has very many rows. Only those few hot slots (at most the row
+    count over ``hot_rows``) are broadcast.
+    """
+    times = rows.select(*keys, F.col(at).alias("_time")).unionByName(history.select(*keys, F.col(ts).alias("_time")))
+    slot = (F.col("_time") - F.pmod("_time", F.lit(bucket))).alias("_slot")
+    hot = (
+        times.groupBy(*keys, slot)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > hot_rows)
+        .select(*keys, "_slot", F.greatest(F.lit(1), F.floor(F.lit(bucket) * F.lit(hot_rows) / F.col("_n"))).cast("bigint").alias("_width"))
+    )
+
+    def add(df: DataFrame, time: str) -> DataFrame:
+        start = F.col(time) - F.pmod(F.col(time), F.lit(bucket))
+        inside = F.col(time) - start
+        fine = start + inside - F.pmod(inside, F.col("_width"))
+        slotted = df.withColumn("_slot", start).join(F.broadcast(hot), [*keys, "_slot"], "left")
+        return slotted.withColumn("_bucket", F.coalesce(fine, F.col("_slot"))).drop("_slot", "_width")
+
+    return add(rows, at), add(history, ts)
+
+
 def lookup_latest(requests: DataFrame, latest: DataFrame, keys: list[str]) -> DataFrame:
     """Online lookup: latest values of the keys, unknown keys stay with nulls."""
     return requests.join(latest, keys, "left")

@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curlew.session import cut_lineage
+from curlew.session import store
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
 
 
 def _stored_in_order(df: DataFrame, order_by: list[Column]) -> DataFrame:
     marked = df.orderBy(*order_by).withColumn("_mark", F.monotonically_increasing_id())
-    return cut_lineage(marked).withColumn("_part", F.shiftright("_mark", _LOCAL_BITS))
+    return store(marked, "ordered").withColumn("_part", F.shiftright("_mark", _LOCAL_BITS))
 
 
 def _offsets(stored: DataFrame, totals: dict[str, Column]) -> DataFrame:

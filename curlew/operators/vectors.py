@@ -79,18 +79,27 @@ def _chunk(id_col: str, count: int, size: int):
     return F.pmod(F.xxhash64(id_col), F.lit(max(1, math.ceil(count / size)))).cast("int")
 
 
+def _sizes(queries: DataFrame, items: DataFrame) -> tuple[int, int, int]:
+    """Number of item vectors, of numbers in them and of queries, in one job."""
+    vectors = items.select(F.lit(0).alias("is_query"), F.size("embedding").alias("width"))
+    both = vectors.union(queries.select(F.lit(1), F.lit(0)))
+    counted = {r.is_query: r for r in both.groupBy("is_query").agg(F.count("width").alias("n"), F.sum("width").alias("w")).collect()}
+    item_row, query_row = counted.get(0), counted.get(1)
+    return (item_row.n, item_row.w or 0, query_row.n if query_row else 0) if item_row else (0, 0, query_row.n if query_row else 0)
+
+
 def knn(queries: DataFrame, items: DataFrame, k: int = 300, float_limit: int = BROADCAST_FLOATS) -> DataFrame:
     """Exact top ``k`` items per query by inner product: ``(request_id, item_id, score, rank)``.
 
     ``queries`` has ``(request_id, qvec)`` and ``items`` has ``(item_id, embedding)``. A catalog of a checked small
     size meets every query block as a broadcast; a larger one goes through the inverted file with bounds.
     """
-    n_items, n_floats = items.agg(F.count("embedding"), F.sum(F.size("embedding"))).first()
-    if (n_floats or 0) > float_limit:
+    n_items, n_floats, n_queries = _sizes(queries, items)
+    if n_floats > float_limit:
         return knn_bounded(queries, build_ivf(items, max(32, math.isqrt(n_items))), k)
     n_blocks = max(1, math.ceil(n_items / ITEM_BLOCK))
     blocks = _pack(items.withColumn("block", _chunk("item_id", n_items, ITEM_BLOCK)), ["block"], "item_id", "embedding", "i")
-    chunked = queries.withColumn("chunk", _chunk("request_id", queries.count(), QUERY_BLOCK))
+    chunked = queries.withColumn("chunk", _chunk("request_id", n_queries, QUERY_BLOCK))
     packed = _pack(chunked, ["chunk"], "request_id", "qvec", "q")
     pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(
         F.broadcast(blocks), "block"

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from curlew.functions.scalars import FALLBACK_AGE, bucketize, standardize
 from curlew.functions.times import cyclic, hour_of_day, weekday
 from curlew.operators.rowindex import with_row_index
+from curlew.session import store
 
 # Fixed values of the code layout: 0 is padding, 1 null, 2 out of vocabulary; fitted values start at 3.
 NULL_CODE, OOV_CODE, FIRST_CODE = 1, 2, 3
@@ -246,7 +247,7 @@ def fit(inputs: list[tuple[Part, DataFrame]]) -> FittedWorkflow:
             counts.append(value_counts(derived, categorical))
         if continuous:
             moments.append(fit_moments(derived, continuous))
-    vocabulary = assign_codes(reduce(DataFrame.unionByName, counts))
+    vocabulary = store(assign_codes(reduce(DataFrame.unionByName, counts)), "vocabulary")
     return _fitted(tuple(part for part, _ in inputs), vocabulary, reduce(DataFrame.unionByName, moments))
 
 

@@ -41,7 +41,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a scratch table and read it back: later passes scan only the columns they need."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curlew.functions.times import DAY, date_of
-from curlew.operators.behavior import WEEK_TTL, last_touches, majority_category, seen_windows
+from curlew.operators.behavior import WEEK_TTL, last_sessions, last_touches, majority_category, seen_windows
 from curlew.operators.commands import flushes_of, parse_commands, parse_records, route, touches_of
 from curlew.operators.history import latest_per_key
 from curlew.session import path_exists
@@ -56,33 +56,58 @@ class RecentItemsState:
 
     def absorb(self, routed: DataFrame, batch_id: int) -> None:
         touches = touches_of(routed)
-        write_batch(last_touches(touches), f"{self.path}/touches", batch_id)
+        day = date_of(F.col("ts_us")).alias("dt")
+        write_batch(last_touches(touches).select("*", day), f"{self.path}/touches", batch_id, "dt")
         write_batch(seen_windows(touches, self.ttl), f"{self.path}/slots", batch_id)
-        # All flush times are needed to look back from a touch, at most one per user and second.
+        # All flush times are kept, since a look back from a touch needs the last one before it.
         flushes = flushes_of(routed).select("user_id", "ts_us").distinct()
-        write_batch(flushes, f"{self.path}/flushes", batch_id)
+        write_batch(flushes.select("*", day), f"{self.path}/flushes", batch_id, "dt")
 
-    def _table(self, name: str, schema: str) -> DataFrame:
+    def _table(self, name: str, schema: str, since: int | None = None) -> DataFrame:
+        """Stored rows of all batches; ``since`` reads only the days from that time on."""
         folder = f"{self.path}/{name}"
+        dated = "" if name == "slots" else ", dt date"
         if not path_exists(self.spark, folder):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(f"{schema}, batch_id bigint").parquet(folder).drop("batch_id")
+        stored = self.spark.read.schema(f"{schema}{dated}, batch_id bigint").parquet(folder)
+        if since is not None:
+            stored = stored.where((F.col("dt") >= date_of(F.lit(since))) & (F.col("ts_us") >= since))
+        return stored.drop("dt", "batch_id")
 
-    def touches(self) -> DataFrame:
-        return last_touches(self._table("touches", "user_id bigint, item_id bigint, ts_us bigint"))
+    def touches(self, since: int | None = None) -> DataFrame:
+        return last_touches(self._table("touches", "user_id bigint, item_id bigint, ts_us bigint", since))
 
     def slots(self) -> DataFrame:
         stored = self._table("slots", "user_id bigint, slot bigint, first_us bigint, last_us bigint")
         return stored.groupBy("user_id", "slot").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
 
-    def flushes(self) -> DataFrame:
-        return self._table("flushes", "user_id bigint, ts_us bigint")
+    def flushes(self, since: int | None = None) -> DataFrame:
+        return self._table("flushes", "user_id bigint, ts_us bigint", since)
+
+    def compact(self, path: str, as_of: int) -> RecentItemsState:
+        """Merge all batches into one at a new place, leaving out sets that have expired by ``as_of``."""
+        fresh = RecentItemsState(self.spark, path, self.ttl)
+        day = date_of(F.col("ts_us")).alias("dt")
+        live = last_sessions(self.slots(), self.ttl).where(F.col("end_us") > as_of - self.ttl).select("user_id", "start_us")
+        began = F.col("start_us") - F.pmod("start_us", F.lit(self.ttl))
+        touches = self.touches().join(live, "user_id").where(F.col("ts_us") >= F.col("start_us")).drop("start_us")
+        slots = self.slots().join(live, "user_id").where(F.col("slot") * self.ttl >= began).drop("start_us")
+        flushes = self.flushes().join(live, "user_id").where(F.col("ts_us") >= F.col("start_us")).drop("start_us")
+        write_batch(touches.select("*", day), f"{path}/touches", -1, "dt")
+        write_batch(slots, f"{path}/slots", -1)
+        write_batch(flushes.distinct().select("*", day), f"{path}/flushes", -1, "dt")
+        return fresh
 
 
 def live_categories(state: RecentItemsState, asked: DataFrame, items: DataFrame, window: int = DAY) -> DataFrame:
-    """Top category of the asked users ``(user_id, as_of)`` from their touches of the last ``window``."""
+    """Top category of the asked users ``(user_id, as_of)`` from their touches of the last ``window``.
+
+    Nothing older than the window of the earliest question counts, so only those days of the state are read.
+    """
+    earliest = asked.agg(F.min("as_of")).first()[0]
+    since = None if earliest is None else earliest - window
     earlier = (
-        state.flushes()
+        state.flushes(since)
         .join(asked, "user_id")
         .where(F.col("ts_us") < F.col("as_of"))
         .groupBy("user_id")
@@ -91,7 +116,7 @@ def live_categories(state: RecentItemsState, asked: DataFrame, items: DataFrame,
     inside = F.col("ts_us").between(F.col("as_of") - window, F.col("as_of")) & (
         F.col("flush_us").isNull() | (F.col("ts_us") > F.col("flush_us"))
     )
-    touched = state.touches().join(asked, "user_id").join(earlier, "user_id", "left").where(inside)
+    touched = state.touches(since).join(asked, "user_id").join(earlier, "user_id", "left").where(inside)
     return majority_category(touched.select("user_id", "item_id", "ts_us"), items).join(asked, "user_id")
 
 
@@ -113,13 +138,14 @@ def stream_top_category(raw: DataFrame, items: DataFrame, users: DataFrame, path
         routed = route(accepted).persist()
         try:
             state.absorb(routed, batch_id)
-            asked = touches_of(routed).groupBy("user_id").agg(F.max("ts_us").alias("as_of"))
+            asked = touches_of(routed).groupBy("user_id").agg(F.max("ts_us").alias("as_of")).persist()
             changed = live_categories(state, asked, items, window).join(users, "user_id", "left")
             rows = changed.select(
                 "user_id", "age", "gender", "top_category", F.col("as_of").alias("datetime"), F.col("as_of").alias("created")
             ).persist()
             dual_sink(rows, batch_id, path)
             rows.unpersist()
+            asked.unpersist()
         finally:
             routed.unpersist()
 
