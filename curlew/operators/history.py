@@ -144,9 +144,11 @@ def snapshot(df: DataFrame, as_of: Column) -> DataFrame:
 def cold_start(users: DataFrame, default_age: int) -> DataFrame:
     """Serving defaults: without age or gender the user is anonymous; otherwise only a missing category is filled."""
     unknown = F.col("age").isNull() | F.col("gender").isNull()
-    return (
-        users.withColumn("feature_user_id", F.when(unknown, F.lit(-1)).otherwise(F.col("user_id")))
-        .withColumn("top_category", F.when(unknown, F.lit(-1)).otherwise(F.coalesce("top_category", F.lit(-1))).cast("int"))
-        .withColumn("age", F.when(unknown, F.lit(default_age)).otherwise(F.col("age")).cast("int"))
-        .withColumn("gender", F.when(unknown, F.lit(-1)).otherwise(F.col("gender")).cast("int"))
+    return users.withColumns(
+        {
+            "feature_user_id": F.when(unknown, F.lit(-1)).otherwise(F.col("user_id")),
+            "age": F.when(unknown, F.lit(default_age)).otherwise(F.col("age")).cast("int"),
+            "gender": F.when(unknown, F.lit(-1)).otherwise(F.col("gender")).cast("int"),
+            "top_category": F.when(unknown, F.lit(-1)).otherwise(F.coalesce("top_category", F.lit(-1))).cast("int"),
+        }
     )

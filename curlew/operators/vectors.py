@@ -123,7 +123,8 @@ class IvfIndex:
 def build_ivf(items: DataFrame, n_cells: int = 32, seed: int = 42) -> IvfIndex:
     """Assign every item to the nearest of ``n_cells`` k-means centroids."""
     vectors = items.select("item_id", "embedding", array_to_vector("embedding").alias("features"))
-    model = KMeans(k=n_cells, seed=seed, maxIter=10, initSteps=1, predictionCol="cell").fit(vectors)
+    # The row solver copes with fewer distinct vectors than cells; the block solver fails on them.
+    model = KMeans(k=n_cells, seed=seed, maxIter=10, solver="row", predictionCol="cell").fit(vectors)
     centroids = np.array(model.clusterCenters())
     placed = cut_lineage(model.transform(vectors).select("item_id", "embedding", "cell"))
     table = _array_literals(centroids)
