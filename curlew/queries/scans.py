@@ -19,7 +19,7 @@ TRAIN_DAYS, VALID_DAYS = 21, 9
 @query("scan_day_range", "SELECT event_id, item_id, day, CASE WHEN day < 21 THEN 'train' ELSE 'valid' END AS split FROM ix")
 def scan_day_range(spark, sf):
     path = scratch_path(spark, "days")
-    views.ix(spark, sf).write.partitionBy("day").parquet(path)
+    sinks.gathered(views.ix(spark, sf), "day").write.partitionBy("day").parquet(path)
     train = readers.read_days(spark, path, 0, TRAIN_DAYS).withColumn("split", F.lit("train"))
     valid = readers.read_days(spark, path, TRAIN_DAYS, VALID_DAYS).withColumn("split", F.lit("valid"))
     return train.unionByName(valid).select("event_id", "item_id", "day", "split")
@@ -28,7 +28,7 @@ def scan_day_range(spark, sf):
 @query("scan_glob_counts", "SELECT day, count(*) AS n, sum(event_id)::BIGINT AS ids FROM ix GROUP BY day")
 def scan_glob_counts(spark, sf):
     path = scratch_path(spark, "glob")
-    views.ix(spark, sf).write.partitionBy("day").parquet(path)
+    sinks.gathered(views.ix(spark, sf), "day").write.partitionBy("day").parquet(path)
     rows = readers.read_glob(spark, f"{path}/day=*/*.parquet")
     day = F.regexp_extract("_metadata.file_path", "/day=([0-9]+)/", 1).cast("bigint").alias("day")
     return rows.groupBy(day).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
@@ -93,7 +93,7 @@ LEFT JOIN (SELECT lang, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM do
 def scan_binary_files(spark, sf):
     path = scratch_path(spark, "blobs")
     documents = views.table(spark, sf, "documents")
-    documents.select("text", "lang").write.partitionBy("lang").text(path)
+    sinks.gathered(documents.select("text", "lang"), "lang").write.partitionBy("lang").text(path)
     keys = documents.select("lang").union(views.table(spark, sf, "region").select("r_name"))
     blobs = readers.read_blobs(spark, path, keys, "lang")
     return blobs.groupBy("lang").agg(

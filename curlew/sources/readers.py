@@ -14,6 +14,12 @@ CATALOG_SCHEMA = T.StructType(
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly work on a scan of few files; a scan with enough partitions stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_days(spark: SparkSession, table: str, first: int, n: int) -> DataFrame:
     """``n`` days from ``first`` of a table partitioned by ``day``; other partitions are not listed for reading."""
     return spark.read.parquet(table).where(F.col("day").between(first, first + n - 1))

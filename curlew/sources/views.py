@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curlew.functions.times import DAY, HOUR, SECOND, epoch_micros, whole
+from curlew.sources.readers import spread
 
 # First day of the event table, and the instant up to which the tables are known.
 ORIGIN_US = 1_704_067_200 * SECOND  # 2024-01-01 00:00 UTC
@@ -142,7 +143,8 @@ def user_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def descriptions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("product_description"))
+    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("product_description"))
+    return spread(documents)
 
 
 def shape_commands(events: DataFrame) -> DataFrame:
@@ -171,7 +173,7 @@ def shape_commands(events: DataFrame) -> DataFrame:
 
 
 def commands(spark: SparkSession, sf: str) -> DataFrame:
-    return shape_commands(table(spark, sf, "events"))
+    return shape_commands(spread(table(spark, sf, "events")))
 
 
 def counters(spark: SparkSession, sf: str) -> DataFrame:
