@@ -12,18 +12,17 @@ DAY = 24 * HOUR
 
 def epoch_micros(ts: str) -> Column:
     """Epoch microseconds of a wall-clock (UTC) timestamp column."""
-    return F.expr(
-        f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ))"
-    )
+    since = f"CAST(CAST({ts} AS TIMESTAMP_NTZ) - TIMESTAMP_NTZ'1970-01-01 00:00:00' AS INTERVAL SECOND)"
+    return F.expr(f"CAST(CAST({since} AS DECIMAL(18, 6)) * 1000000 AS BIGINT)")
 
 
 def whole(numerator: Column, width: int) -> Column:
     """Floor division as BIGINT."""
-    return F.floor((numerator - F.pmod(numerator, F.lit(width))) / F.lit(width)).cast("bigint")
+    return F.call_function("div", numerator - F.pmod(numerator, F.lit(width)), F.lit(width)).cast("bigint")
 
 
 def hour_of_day(epoch_seconds: Column) -> Column:
-    return F.expr("0").cast("int") + F.floor(F.pmod(epoch_seconds, F.lit(86_400)) / 3_600).cast("int")
+    return whole(F.pmod(epoch_seconds, F.lit(86_400)), 3_600).cast("int")
 
 
 def weekday(epoch_seconds: Column) -> Column:

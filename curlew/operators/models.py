@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, LogisticRegression
-from pyspark.ml.feature import FeatureHasher, StandardScaler, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
@@ -100,10 +100,13 @@ def _gram(item_vectors: DataFrame, dim: int) -> np.ndarray:
 
 def fit_ranker(rows: DataFrame, categorical: list[str], continuous: list[str], label: str = "label", kind: str = "fm",
                buckets: int = 4096, seed: int = 42) -> PipelineModel:
-    """Click model on encoded features: categories are hashed to a fixed width, numbers scaled."""
+    """Click model on encoded features: categories are hashed to a fixed width, numbers scaled, and
+    unknown numbers take the training mean."""
     # Each pass of the optimiser reads the rows again, so they are stored first.
     rows = store(rows.select(label, *categorical, *continuous), "training")
-    numbers = VectorAssembler(inputCols=continuous, outputCol="numbers", handleInvalid="keep")
+    known = [f"{c}_known" for c in continuous]
+    imputed = Imputer(inputCols=continuous, outputCols=known)
+    numbers = VectorAssembler(inputCols=known, outputCol="numbers")
     hashed = FeatureHasher(inputCols=categorical, categoricalCols=categorical, numFeatures=buckets, outputCol="hashed")
     scaled = StandardScaler(inputCol="numbers", outputCol="scaled")
     joined = VectorAssembler(inputCols=["hashed", "scaled"], outputCol="features")
@@ -111,7 +114,7 @@ def fit_ranker(rows: DataFrame, categorical: list[str], continuous: list[str], l
         model = FMClassifier(labelCol=label, factorSize=8, maxIter=15, stepSize=0.05, seed=seed)
     else:
         model = LogisticRegression(labelCol=label, maxIter=20, regParam=0.01)
-    return Pipeline(stages=[numbers, hashed, scaled, joined, model]).fit(rows)
+    return Pipeline(stages=[imputed, numbers, hashed, scaled, joined, model]).fit(rows)
 
 
 def predict(model: PipelineModel, rows: DataFrame, score: str = "score") -> DataFrame:

@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from curlew.session import store
+
+# Up to this many lists (one short array each) are broadcast.
+BROADCAST_LISTS = 10_000
+
 
 def group_counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -76,16 +81,21 @@ def top_category(interactions: DataFrame, items: DataFrame) -> DataFrame:
 def popular_fallback(users: DataFrame, popular: DataFrame, k: int = 10) -> DataFrame:
     """A list of ``k`` items per user without a vector: the user's top category first, then the global list.
 
-    The ranked lists hold at most ``k`` rows per scope, so only short lists are joined.
+    The lists hold at most ``k`` items per category. They are stored once, counted, and broadcast if they are few.
     """
     ranked = top_n(popular.where(F.col("scope").isin("global", "cat_l1")), k)
-    lists = ranked.groupBy("scope", "scope_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("entries")
+    lists = store(
+        ranked.groupBy("scope", "scope_id").agg(
+            F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("entries")
+        ),
+        "popular",
     )
     by_category = lists.where(F.col("scope") == "cat_l1").select(
         F.col("scope_id").alias("top_category"), F.col("entries.item_id").alias("category_items")
     )
     overall = lists.where(F.col("scope") == "global").select("entries.item_id").scalar()
+    if lists.count() <= BROADCAST_LISTS:
+        by_category = F.broadcast(by_category)
     empty = F.array().cast("array<bigint>")
     merged = (
         users.select("user_id", F.col("top_category").cast("bigint").alias("top_category"))

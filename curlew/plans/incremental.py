@@ -26,11 +26,19 @@ def merge_new_days(new: DataFrame, user_history: DataFrame, item_history: DataFr
     return clicked(merged.withColumn("top_category", fill_category(F.col("top_category"))))
 
 
+def replay_sets(new: DataFrame, user_history: DataFrame, item_history: DataFrame, updates: DataFrame | None,
+                history: DataFrame, as_of: int, as_of_date: str, frac: float = 0.7, n_days: int = 2,
+                seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Replay training rows and validation rows of the new days, not yet encoded."""
+    merged = merge_new_days(new, user_history, item_history, updates, as_of, as_of_date)
+    split = split_fraction(merged, SPLIT_ORDER, frac)
+    train = replay(split.where(F.col("split") == "train"), history, n_days, seed)
+    return train, split.where(F.col("split") == "valid")
+
+
 def incremental(new: DataFrame, user_history: DataFrame, item_history: DataFrame, updates: DataFrame | None,
                 history: DataFrame, workflow: FittedWorkflow, as_of: int, as_of_date: str, frac: float = 0.7,
                 n_days: int = 2, seed: int = 42, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Processed replay training set and validation set of the new days, under the already fitted workflow."""
-    merged = merge_new_days(new, user_history, item_history, updates, as_of, as_of_date)
-    split = split_fraction(merged, SPLIT_ORDER, frac)
-    train = replay(split.where(F.col("split") == "train"), history, n_days, seed)
-    return workflow.transform(train, keep), workflow.transform(split.where(F.col("split") == "valid"), keep)
+    train, valid = replay_sets(new, user_history, item_history, updates, history, as_of, as_of_date, frac, n_days, seed)
+    return workflow.transform(train, keep), workflow.transform(valid, keep)

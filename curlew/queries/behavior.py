@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from curlew.functions.times import DAY
 from curlew.operators import behavior, history, popularity, splits
-from curlew.operators.commands import flushes_of, parse_commands, route, touches_of
 from curlew.operators.joins import enrich, load_report
-from curlew.plans.incremental import SPLIT_ORDER, incremental, merge_new_days
+from curlew.plans.incremental import SPLIT_ORDER, incremental, merge_new_days, replay_sets
 from curlew.queries.features import fitted, rounded
 from curlew.queries.registry import query
 from curlew.queries.scans import TRAIN_DAYS, dated_log
@@ -341,6 +340,18 @@ def new_days(spark, sf):
     return rows.select("event_id", "age", "gender", "top_category", "price", "category_l1", "category_l2", "item_gender", "click")
 
 
+def incremental_inputs(spark, sf, rows: DataFrame) -> tuple[DataFrame, ...]:
+    """New days, feature histories, live updates and the replay history out of the merged days."""
+    items = history.snapshot(views.items(spark, sf), F.lit(views.ORIGIN_US))
+    new = views.ix(spark, sf).where(F.col("day") >= NEW_FROM)
+    updates = spark.read.parquet(dated_log(spark, sf))
+    return new, user_history(spark, sf), items, updates, old_days(rows.drop("split"))
+
+
+def raw_incremental_sets(spark, sf, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return replay_sets(*incremental_inputs(spark, sf, rows), views.AS_OF_US, views.AS_OF_DATE)
+
+
 @query(
     "incremental_transform",
     transform_sql(
@@ -355,13 +366,7 @@ UNION ALL SELECT * EXCLUDE (split), 'train' FROM (SELECT event_id, user_id, item
 )
 def incremental_transform(spark, sf):
     model, rows = fitted(spark, sf)
-    old = old_days(rows.drop("split"))
-    items = history.snapshot(views.items(spark, sf), F.lit(views.ORIGIN_US))
-    updates = spark.read.parquet(dated_log(spark, sf))
-    new = views.ix(spark, sf).where(F.col("day") >= NEW_FROM)
-    train, valid = incremental(
-        new, user_history(spark, sf), items, updates, old, model, views.AS_OF_US, views.AS_OF_DATE, keep=("event_id",)
-    )
+    train, valid = incremental(*incremental_inputs(spark, sf, rows), model, views.AS_OF_US, views.AS_OF_DATE, keep=("event_id",))
     parts = [train.withColumn("set_name", F.lit("train")), valid.withColumn("set_name", F.lit("valid"))]
     return rounded(reduce(DataFrame.unionByName, parts))
 
@@ -374,8 +379,3 @@ def new_recommendations(spark, sf):
     rows = views.ixl(spark, sf)
     later, earlier = rows.where(F.col("day") >= 4), rows.where(F.col("day") < 4)
     return splits.set_difference(later.select("user_id", "item_id"), earlier.select("user_id", "item_id"))
-
-
-def command_touches(spark, sf) -> tuple[DataFrame, DataFrame]:
-    routed = route(parse_commands(views.commands(spark, sf))[0])
-    return touches_of(routed), flushes_of(routed)

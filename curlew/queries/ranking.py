@@ -12,7 +12,7 @@ from curlew.operators import catalog, encode, evaluate, models, ranking, samplin
 from curlew.operators.behavior import active_seen
 from curlew.operators.workflow import CONTEXT, ITEM, USER
 from curlew.plans.recommend import recommend
-from curlew.queries.behavior import flushes, touches
+from curlew.queries.behavior import flushes, raw_incremental_sets, touches
 from curlew.queries.features import fitted, fitted_default_age, online_users, requests
 from curlew.queries.registry import query
 from curlew.queries.sql_views import h32, seen_sql, uniform
@@ -293,17 +293,14 @@ def refresh_user_factors(spark, sf):
 
 
 CATEGORICAL = [c for p in (ITEM, USER, CONTEXT) for c in p.categorical]
+N_NEGATIVES = 5
 CONTINUOUS = ["price_log_norm", "age_norm", *CONTEXT.passthrough]
 
 
 def labelled(spark, sf) -> tuple[workflow.FittedWorkflow, DataFrame]:
     """Encoded positives with their negatives, and the workflow that encoded them."""
     model, rows = fitted(spark, sf)
-    items = views.items(spark, sf)
-    drawn = sampling.sample_negatives(rows.select("event_id", "user_id", "item_id"), items, 2)
-    context = rows.drop("item_id", *catalog.ITEM_FEATURES, "click")
-    negatives = drawn.select("event_id", "item_id").join(context, "event_id").join(items, "item_id").withColumn("click", F.lit(0))
-    both = rows.unionByName(negatives)
+    both = sampling.with_negatives(rows, views.items(spark, sf), N_NEGATIVES)
     encoded = model.transform(both, keep=("event_id", "split")).withColumn("label", F.col("click").cast("double"))
     return model, store(encoded, "labelled")
 
@@ -316,6 +313,19 @@ def ranking_fm(spark, sf):
     return evaluate.auc(models.predict(ranker, rows.where(F.col("split") == "valid")))
 
 
+@query("refresh_ranker")
+def refresh_ranker(spark, sf):
+    """AUC on the new days of a ranker refitted on the replay set, under the frozen workflow."""
+    model, rows = fitted(spark, sf)
+    items = views.items(spark, sf)
+    train, valid = raw_incremental_sets(spark, sf, rows)
+    train = sampling.with_negatives(train, items, N_NEGATIVES)
+    valid = sampling.with_negatives(valid, items, N_NEGATIVES)
+    encode_rows = lambda df: model.transform(df).withColumn("label", F.col("click").cast("double"))
+    ranker = models.fit_ranker(encode_rows(train), CATEGORICAL, CONTINUOUS)
+    return evaluate.auc(models.predict(ranker, encode_rows(valid)))
+
+
 @query(
     "score_candidates",
     f"""

@@ -177,7 +177,11 @@ def deduplicate(stream: DataFrame, key: str, delay: str) -> DataFrame:
 
 
 def seen_sessions(touches: DataFrame, ttl_seconds: int, delay: str) -> DataFrame:
-    """Seen sets as session windows; a set is emitted once the watermark passes its end."""
+    """Seen sets as session windows; a set is emitted once the watermark passes its end.
+
+    Sessions are merged inside each task before the shuffle, so a very active user sends sessions, not touches.
+    """
+    touches.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     session = F.session_window("event_time", f"{ttl_seconds} seconds")
     return (
         event_time(touches, delay)

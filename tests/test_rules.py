@@ -187,6 +187,18 @@ def test_event_times_do_not_depend_on_the_session_zone(spark, sf):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_epoch_of_summer_and_gap_times(spark, zone):
+    wanted = {"1969-12-31 23:59:59.000001": -999_999, "2024-07-15 12:00:00": 1_721_044_800_000_000, "2024-03-10 02:30:00.5": 1_710_037_800_500_000}
+    df = spark.createDataFrame([(t,) for t in wanted], "t string").select("t", F.expr("CAST(t AS TIMESTAMP_NTZ)").alias("ts"))
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = {r.t: r.us for r in df.select("t", times.epoch_micros("ts").alias("us")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == wanted
+
+
 def test_popularity_ties_in_reverse_text_order(spark):
     counts = frame(spark, [("global", 0, 10, 5), ("global", 0, 9, 5), ("global", 0, 1, 7)], "scope string, scope_id bigint, item_id bigint, n bigint")
     top = popularity.top_n(counts, 3).orderBy("rank")
