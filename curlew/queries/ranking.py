@@ -144,9 +144,9 @@ def sample_from_topk(spark, sf):
     "negative_samples",
     f"""
 SELECT p.event_id, p.user_id, p.draw, n.item_id, CAST(0 AS BIGINT) AS label FROM (
-  SELECT event_id, user_id, unnest(range(1, 6)) AS draw FROM ix) p
-JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS pos, count(*) OVER () AS c FROM items) n
-  ON {h32('p.event_id', 'p.draw', seed=42)} % n.c = n.pos
+  SELECT event_id, user_id, draw, {h32('event_id', 'draw', seed=42)} % (SELECT count(*) FROM items) AS pos
+  FROM (SELECT event_id, user_id, unnest(range(1, 6)) AS draw FROM ix)) p
+JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM items) n ON p.pos = n.pos
 ANTI JOIN (SELECT DISTINCT user_id, item_id FROM ix) x ON p.user_id = x.user_id AND n.item_id = x.item_id""",
 )
 def negative_samples(spark, sf):
