@@ -1,7 +1,9 @@
 """All registered queries of this subpackage."""
 
 import curlew.llm.decontaminate
-import curlew.llm.mixing  # noqa: F401
+import curlew.llm.lattice
+import curlew.llm.mixing
+import curlew.llm.recompress  # noqa: F401
 from curlew.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
