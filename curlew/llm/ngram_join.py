@@ -157,6 +157,8 @@ def prefix_keys(size: int, counts: np.ndarray, tokens: np.ndarray, percent: int,
     singles = tokens[counts <= rare]
     if len(singles) >= need:
         return singles[:need].view(np.int64)
+    if size == 1:  # only an equal set is similar
+        return singles.view(np.int64)
     keys, common = [singles], tokens[len(singles) :]
     need -= len(singles)
     for level in _levels(size, percent):
@@ -315,6 +317,8 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHING
     ``percent`` of the union; component_id is the smallest doc_id that links reach. Documents without words or text have no shingles
     and no links. Repeated rows are documents of their own with one id; a null id is never the smallest unless it is alone. An empty
     table gives no rows."""
+    if percent <= 50:
+        raise ValueError("prefixes are made for more than half in common")
     spark = docs.sparkSession
     parts = parts_for(spark, total_chars(docs), CHARS_PER_PART)
     keyed = docs.select(F.struct("*").alias("row")).withColumn("text_key", F.xxhash64("row.text"))
