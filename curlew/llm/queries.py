@@ -3,7 +3,9 @@
 import curlew.llm.decontaminate
 import curlew.llm.lattice
 import curlew.llm.mixing
+import curlew.llm.neighbours
 import curlew.llm.ngram_join
+import curlew.llm.personal
 import curlew.llm.recompress  # noqa: F401
 from curlew.llm.registry import ORACLES, QUERIES
 
