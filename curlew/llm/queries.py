@@ -1,12 +1,15 @@
 """All registered queries of this subpackage."""
 
+import curlew.llm.chat
 import curlew.llm.decontaminate
 import curlew.llm.lattice
 import curlew.llm.mixing
 import curlew.llm.neighbours
 import curlew.llm.ngram_join
 import curlew.llm.personal
-import curlew.llm.recompress  # noqa: F401
+import curlew.llm.quality
+import curlew.llm.recompress
+import curlew.llm.secrets  # noqa: F401
 from curlew.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
