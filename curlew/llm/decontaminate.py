@@ -182,7 +182,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, run:
         for batch in batches:
             rows = batch.column("row")
             counts, hit_counts, ids, spans, dirty = [], [], [], [], []
-            for text, matched in zip(rows.field("text").cast(pa.binary()).to_pylist(), batch.column("matches").to_pylist(), strict=True):
+            for text, matched in zip(texts(batch), batch.column("matches").to_pylist(), strict=True):
                 words, found, merged = plain_words(text), set(), []
                 for match in matched or ():
                     own = _spans(words, plain_words(match["item_text"].encode()), match["hits"], window)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curlew.llm.words import pack, unpack
+from curlew.llm.words import pack, pack_short, unpack, unpack_short
 
 SENT = "chunk bigint, part int, kind int, keys binary, places binary"
 SENT_ARROW = pa.schema(
@@ -38,7 +38,7 @@ def send(chunk: int, keys: np.ndarray, places: np.ndarray, known: np.ndarray, no
         at = slice(bounds[p], bounds[p + 1])
         k, w, lone = keys[at], places[at], ~known[at]
         if lone.any():
-            yield {"chunk": chunk, "part": int(p), "kind": LONE, "keys": pack(k[lone], width), "places": pack(w[lone], 4)}
+            yield {"chunk": chunk, "part": int(p), "kind": LONE, "keys": pack(k[lone], width), "places": pack_short(w[lone])}
         if not lone.all():
             yield {"chunk": chunk, "part": int(p), "kind": KNOWN, "keys": pack(k[~lone], width), "places": None}
     yield {"chunk": chunk, "part": chunk % parts, "kind": NOTES, "keys": notes, "places": None}
@@ -58,7 +58,8 @@ def to_batches(rows: Iterator[dict], schema: pa.Schema, size: int = 256) -> Iter
 def shared_places(sent: DataFrame, width: int) -> DataFrame:
     """Per chunk, the places (32-bit numbers) of its keys that another chunk holds too, and the chunk's notes.
 
-    Keys are compared by ``width`` bytes besides their range: two keys may pass for one, which only adds places."""
+    Keys are compared by their low ``width`` bytes besides their range, and ranges grow in number with the input: now and then two keys
+    pass for one, equally seldom at every size, which only adds places."""
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         notes = frame[frame.kind == NOTES]
@@ -77,7 +78,7 @@ def shared_places(sent: DataFrame, width: int) -> DataFrame:
             for i, (chunk, kind, places) in enumerate(zip(rows.chunk, rows.kind, rows.places, strict=True)):
                 hit = shared[bounds[i] : bounds[i + 1]]
                 if kind == LONE and hit.any():
-                    data = np.frombuffer(places, "<u4")[hit].tobytes()
+                    data = unpack_short(places)[hit].astype("<u4").tobytes()
                     out.append(pd.DataFrame({"chunk": [chunk], "kind": [LONE], "data": [data]}))
         return pd.concat(out, ignore_index=True)
 

@@ -7,11 +7,11 @@ places, but for their ends. Equal neighbours fall into one class and are never p
 members, equally wherever it stands, and its equal names travel once.
 
 After ``ROUNDS`` rounds symbols span up to 8 words. Borders of the last round, and borders of the round before inside symbols longer than
-five words, are the anchors; each stands for the 8 words around it, 4 on either side. Every 13 consecutive words hold an anchor with
+six words, are the anchors; each stands for the 8 words around it, 4 on either side. Every 13 consecutive words hold an anchor with
 all of its 8 words (see ``anchors``), so
 
 1. anchors that two documents share are found first, by truncated names (a false meeting only costs work);
-2. only windows around shared anchors are compared, by 128-bit digests of their words, and each learns whether a document with a smaller
+2. only windows around shared anchors are compared, by 96-bit digests of their words, and each learns whether a document with a smaller
    id holds it too;
 3. words covered by such windows are removed.
 
@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 
 from curlew.llm.exchange import LONE, NOTES, SENT, SENT_ARROW, parts_for, send, shared_places, to_batches, total_chars
 from curlew.llm.registry import query, table
-from curlew.llm.words import MIX, Chunk, blank_words, chunk_ids, chunks, grams
+from curlew.llm.words import MIX, Chunk, blank_words, chunk_ids, chunks, grams, pack_short, texts, unpack_short
 
 WINDOW = 13
 SIDE = 4  # words on either side of an anchor
 ROUNDS = 3
-KEY_BYTES = 5  # of an anchor's name, besides its range of the key space
+KEY_BYTES = 4  # of an anchor's name, besides its range of the key space
 CHARS_PER_PART = 16 << 20
+DIGEST = 12
+_DIGEST = np.dtype([("a", "<u8"), ("b", "<u4")])
 ID_BITS = np.uint64(1 << 63)  # turns signed ids into unsigned ones of the same order
 
 
@@ -62,16 +64,15 @@ def anchors(numbers: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(places, names) of the anchors that have 4 words of their document on either side.
 
     A border of round r depends on 2^(r-1) words on either side, 4 in the last round. A window of 13 words has six places, 4 to 9, with
-    4 words of the window on either side. If none of them is a border of the last round, they lie inside one symbol of at least 7
-    words; that symbol is a pair of symbols of at most 4 words, and the border between them is one of the six places, or the pair
-    begins or ends there. All borders of the round before inside long symbols are taken, so one of the six places is an anchor."""
+    4 words of the window on either side. If none of them is a border of the last round, all six lie inside one symbol of 7 or 8 words.
+    It is a pair of symbols of at most 4 words, so the border between these, one of the round before, is among the six places."""
     found = borders(numbers, owner)
     last, before = found[-1], found[-2]
     marked = np.zeros(len(numbers) + 1, bool)
     marked[last] = True
     sizes = np.diff(np.append(last, len(numbers)))
     holder = np.searchsorted(last, before, side="right") - 1
-    marked[before[sizes[holder] > 5]] = True
+    marked[before[sizes[holder] > 6]] = True
     places = np.flatnonzero(marked[: len(numbers)])
     places = places[(places >= SIDE) & (places + SIDE <= len(numbers))]
     places = places[owner[places - SIDE] == owner[places + SIDE - 1]] if len(places) else places
@@ -103,15 +104,14 @@ def _send_anchors(docs: DataFrame, parts: int) -> DataFrame:
         ids = chunk_ids()
 
         def rows():
-            for chunk in chunks(batches, blank_words, ("text_key",)):
+            for chunk in chunks(batches, blank_words, ("row_key",)):
                 places, names = anchors(chunk.numbers, chunk.owner)
                 owner = chunk.owner[places]
                 bounds = np.searchsorted(owner, np.arange(len(chunk.rows) + 1))
-                # equal texts share a key: each of them counts as a holder of its own
                 distinct, first, known, rank = _distinct(names, owner)
                 held = np.flatnonzero(known[rank])
                 notes = np.array([len(chunk.rows)], "<i8").tobytes()
-                notes += np.array([r["text_key"] for r in chunk.rows], "<i8").tobytes()
+                notes += np.array([r["row_key"] for r in chunk.rows], "<i8").tobytes()
                 notes += bounds.astype("<i8").tobytes() + held.astype("<u4").tobytes()
                 yield from send(next(ids), distinct, first, known, notes, parts, KEY_BYTES)
 
@@ -120,8 +120,8 @@ def _send_anchors(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(run, SENT)
 
 
-def _per_text(answers: DataFrame) -> DataFrame:
-    """(text_key, places): the shared anchors of each text, by their number in it."""
+def _per_document(answers: DataFrame) -> DataFrame:
+    """(row_key, anchors): the shared anchors of each document, by their number in it."""
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
         notes = frame.data[frame.kind == NOTES].iloc[0]
@@ -136,38 +136,40 @@ def _per_text(answers: DataFrame) -> DataFrame:
         has = np.flatnonzero(np.diff(ends))
         return pd.DataFrame(
             {
-                "text_key": keys[has],
+                "row_key": keys[has],
                 "anchors": [(at[ends[i] : ends[i + 1]] - bounds[i]).astype("<u4").tobytes() for i in has],
             }
         )
 
-    return answers.groupBy("chunk").applyInPandas(gather, "text_key bigint, anchors binary")
+    return answers.groupBy("chunk").applyInPandas(gather, "row_key bigint, anchors binary")
 
 
 def _least_places(sent: DataFrame) -> DataFrame:
     """Per chunk, the places of its keys that another chunk holds with a smaller id, and the chunk's notes.
 
-    ``keys`` of a row are 16-byte digests, ``places`` 4-byte numbers followed by 8-byte ids."""
+    ``keys`` of a row are ``DIGEST``-byte digests; ``places`` are the first digest's number, the smallest id, and what each id is above
+    it."""
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         notes = frame[frame.kind == NOTES]
         out = [pd.DataFrame({"chunk": notes.chunk, "kind": NOTES, "data": notes["keys"]})]
         rows = frame[frame.kind != NOTES]
         if len(rows):
-            counts = np.array([len(x) // 16 for x in rows["keys"]])
-            digests = np.frombuffer(b"".join(rows["keys"]), "<u8").reshape(-1, 2)
-            ids = np.concatenate([np.frombuffer(x, "<u8", offset=4 * n) for x, n in zip(rows.places, counts, strict=True)])
-            order = np.lexsort((ids, digests[:, 1], digests[:, 0]))
-            same = (digests[order][1:] == digests[order][:-1]).all(axis=1)
+            counts = np.array([len(x) // DIGEST for x in rows["keys"]])
+            digests = np.frombuffer(b"".join(rows["keys"]), _DIGEST)
+            heads = [np.frombuffer(x, "<u8", 2) for x in rows.places]
+            ids = np.concatenate([head[1] + unpack_short(x[16:]) for head, x in zip(heads, rows.places, strict=True)])
+            order = np.lexsort((ids, digests["b"], digests["a"]))
+            same = digests[order][1:] == digests[order][:-1]
             group = np.concatenate([[0], np.cumsum(~same)])
             least = ids[order][np.flatnonzero(np.concatenate([[True], ~same]))][group]
             later = np.zeros(len(ids), bool)
             later[order] = least < ids[order]
             ends = np.concatenate([[0], np.cumsum(counts)])
-            for i, (chunk, places) in enumerate(zip(rows.chunk, rows.places, strict=True)):
-                hit = later[ends[i] : ends[i + 1]]
-                if hit.any():
-                    data = np.frombuffer(places, "<u4", counts[i])[hit].tobytes()
+            for i, (chunk, head) in enumerate(zip(rows.chunk, heads, strict=True)):
+                hit = np.flatnonzero(later[ends[i] : ends[i + 1]])
+                if len(hit):
+                    data = (hit + int(head[0])).astype("<u4").tobytes()
                     out.append(pd.DataFrame({"chunk": [chunk], "kind": [LONE], "data": [data]}))
         return pd.concat(out, ignore_index=True)
 
@@ -184,7 +186,7 @@ def _send_windows(docs: DataFrame, parts: int, window: int) -> DataFrame:
         ids = chunk_ids()
 
         def rows():
-            for chunk in chunks(batches, blank_words, ("row_key", "doc_id", "anchors")):
+            for chunk in chunks(batches, blank_words, ("row_key", "order_id", "anchors")):
                 yield from _window_rows(next(ids), chunk, parts, window)
 
         yield from to_batches(rows(), SENT_ARROW, 64)
@@ -203,19 +205,20 @@ def _window_rows(number: int, chunk: Chunk, parts: int, window: int) -> Iterator
     high = grams(chunk.numbers * MIX ^ (chunk.numbers >> np.uint64(32)), window)
     # a window from s holds all words of an anchor at s + 4 .. s + window - 4
     starts = np.flatnonzero(inside & _spread(places[hit], SIDE - window, -SIDE, len(low)))
-    digests = np.empty(len(starts), [("a", "<u8"), ("b", "<u8")])
-    digests["a"], digests["b"] = low[starts], high[starts]
+    digests = np.empty(len(starts), _DIGEST)
+    digests["a"], digests["b"] = low[starts], high[starts] >> np.uint64(32)
     distinct, rank = np.unique(digests, return_inverse=True)
-    ids = np.array([r["doc_id"] for r in chunk.rows], np.int64).view(np.uint64) ^ ID_BITS
+    ids = np.array([r["order_id"] for r in chunk.rows], np.int64).view(np.uint64) ^ ID_BITS
     own = ids[chunk.owner[starts]]
     least = np.full(len(distinct), 0xFFFFFFFFFFFFFFFF, np.uint64)
     np.minimum.at(least, rank, own)
     part = (distinct["a"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
     ends = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
     for p in np.flatnonzero(np.diff(ends)):
-        at = np.arange(ends[p], ends[p + 1])
-        places_and_ids = at.astype("<u4").tobytes() + least[at].tobytes()
-        yield {"chunk": number, "part": int(p), "kind": LONE, "keys": distinct[at].tobytes(), "places": places_and_ids}
+        at = slice(ends[p], ends[p + 1])
+        smallest = least[at].min()
+        places = np.array([ends[p], smallest], "<u8").tobytes() + pack_short(least[at] - smallest)
+        yield {"chunk": number, "part": int(p), "kind": LONE, "keys": distinct[at].tobytes(), "places": places}
     counts = np.bincount(chunk.owner[starts], minlength=len(chunk.rows))
     notes = np.array([len(chunk.rows), len(starts)], "<i8").tobytes()
     notes += np.array([r["row_key"] for r in chunk.rows], "<i8").tobytes() + counts.astype("<i8").tobytes()
@@ -260,20 +263,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     parts = parts_for(spark, total_chars(docs), CHARS_PER_PART)
     order = F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit((1 << 63) - 1))
+    # the texts are dealt out once, by a key that keeps copies apart; all three passes read that one exchange
     keyed = (
         docs.select(F.struct("*").alias("row"))
-        .withColumn("text_key", F.xxhash64("row.text"))
         .withColumn("row_key", F.xxhash64("row.text", order))
         .withColumn("order_id", order)
+        .repartition(parts, "row_key")
+        .sortWithinPartitions("row_key")
     )
-    sent = _send_anchors(keyed.select("text_key", F.col("row.text").alias("text")), parts)
-    shared = _per_text(shared_places(sent, KEY_BYTES))
-    # of a text in several places all anchors are shared, so any of its rows will do
-    shared = shared.groupBy("text_key").agg(F.max("anchors").alias("anchors"))
-    near = keyed.join(shared, "text_key").select("row_key", F.col("order_id").alias("doc_id"), F.col("row.text").alias("text"), "anchors")
+    shared = _per_document(shared_places(_send_anchors(keyed, parts), KEY_BYTES))
+    shared = shared.groupBy("row_key").agg(F.max("anchors").alias("anchors"))
+    near = keyed.join(shared, "row_key")
     repeats = _removed(_least_places(_send_windows(near, parts, window)))
     repeats = repeats.groupBy("row_key").agg(F.first("starts").alias("starts"))
-    joined = keyed.join(repeats, "row_key", "left").select("row", "starts")
+    joined = keyed.join(repeats, "row_key", "left")
     row_type = joined.schema["row"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -281,7 +284,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             rows = batch.column("row")
             counts, gone, kept, spans = [], [], [], []
-            for text, starts in zip(rows.field("text").cast(pa.binary()).to_pylist(), batch.column("starts").to_pylist(), strict=True):
+            for text, starts in zip(texts(batch), batch.column("starts").to_pylist(), strict=True):
                 words = blank_words(text)
                 covered = _spread(np.frombuffer(starts or b"", "<u4").astype(np.int64), 0, window - 1, len(words))
                 counts.append(len(words))

@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-CACHED_WORDS = 500_000  # distinct words a task remembers before it starts afresh
+SLICE_ROWS = 256  # rows of a batch that are Python objects at a time
+CACHED_WORDS = 200_000  # distinct words a task remembers before it starts afresh
 
 
 class WordNumbers(dict):
@@ -41,8 +43,10 @@ def lower_blank_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
-    return batch.column(column).cast(pa.binary()).to_pylist()
+def texts(batch: pa.RecordBatch) -> list[bytes | None]:
+    """The texts of a batch, as a column or in the input rows it carries along as ``row``."""
+    column = batch.column("text") if "text" in batch.schema.names else pc.struct_field(batch.column("row"), "text")
+    return column.cast(pa.binary()).to_pylist()
 
 
 class Chunk:
@@ -76,21 +80,23 @@ def chunks(
     batches: Iterator[pa.RecordBatch],
     split: Callable[[bytes | None], list[bytes]],
     keep: tuple[str, ...],
-    most_words: int = 1_000_000,
+    most_words: int = 400_000,
     seed: int = 0,
 ) -> Iterator[Chunk]:
     """Whole documents in chunks of about ``most_words`` words; a longer document is a chunk of its own."""
     numbers, rows, lists, held = WordNumbers(seed), [], [], 0
     for batch in batches:
-        columns = [batch.column(name).to_pylist() for name in keep]
-        for text, *values in zip(texts(batch), *columns, strict=True):
-            words = split(text)
-            if lists and held + len(words) > most_words:
-                yield Chunk(rows, lists, numbers)
-                rows, lists, held = [], [], 0
-            rows.append(dict(zip(keep, values, strict=True)))
-            lists.append(words)
-            held += len(words)
+        for at in range(0, len(batch), SLICE_ROWS):
+            some = batch.slice(at, SLICE_ROWS)
+            columns = [some.column(name).to_pylist() for name in keep]
+            for text, *values in zip(texts(some), *columns, strict=True):
+                words = split(text)
+                if lists and held + len(words) > most_words:
+                    yield Chunk(rows, lists, numbers)
+                    rows, lists, held = [], [], 0
+                rows.append(dict(zip(keep, values, strict=True)))
+                lists.append(words)
+                held += len(words)
     if lists:
         yield Chunk(rows, lists, numbers)
 
@@ -106,6 +112,16 @@ def pack(numbers: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
+def pack_short(numbers: np.ndarray) -> bytes:
+    """Numbers in as many bytes as the largest needs; that width comes first."""
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + pack(numbers, width)
+
+
+def unpack_short(data: bytes) -> np.ndarray:
+    return unpack(data[1:], data[0])
+
+
 def unpack(data: bytes, width: int) -> np.ndarray:
     out = np.zeros((len(data) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
