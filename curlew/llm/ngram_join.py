@@ -33,7 +33,7 @@ from curlew.operators.rowindex import with_running_totals
 from curlew.session import store
 
 SHINGLE, PERCENT = 5, 75
-KEY_BYTES = 5
+KEY_BYTES = 4
 CHARS_PER_PART = 16 << 20
 RARE = 16
 BLOCK_TOKENS = 100_000
@@ -326,7 +326,8 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHING
     sieved = _sieved(shared_places(_sent(plain, parts, size), KEY_BYTES), percent)
     sieved = store(sieved.groupBy("text_key").agg(F.max("size").alias("size"), F.max("may").alias("may")), "join-sieved")
     through = store(sieved.filter("may").select("text_key"), "join-through")
-    named = store(_class_rows(plain.join(through, "text_key", "left_semi"), size), "join-classes")
+    # a share of all texts comes through, so the join is a shuffle at any size
+    named = store(_class_rows(plain.join(through.hint("merge"), "text_key", "left_semi"), size), "join-classes")
     classes = named.groupBy("class").agg(F.max("size").alias("size"), F.max("tokens").alias("tokens"))
     classes = store(classes, "join-sets")
     joined = components(_class_links(classes, percent, block_tokens))
