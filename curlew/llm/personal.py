@@ -110,7 +110,7 @@ def _occurrences(found: DataFrame) -> DataFrame:
         F.get(covering, F.lit(0))["value"].alias("seed"),
         F.array_distinct(F.array(token["before"], F.element_at(F.split(token["before"], r"\s+"), -1))).alias("patterns"),
     )
-    return rows.filter(F.length("value") >= 5).withColumn("patterns", F.filter("patterns", lambda p: p != ""))
+    return rows.filter(F.length(F.coalesce("seed", "value")) >= 5).withColumn("patterns", F.filter("patterns", lambda p: p != ""))
 
 
 def _learn(occurrences: DataFrame, rounds: int) -> DataFrame:
