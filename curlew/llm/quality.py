@@ -246,14 +246,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, un
     totals = docs.select("doc_id").distinct().join(good, "doc_id", "left").agg(F.count("good").alias("known"), F.count(F.lit(1)).alias("all")).first()
     others = max(totals["all"] - totals.known, 1)
     limit = F.when(F.col("good").isNotNull(), F.lit(labelled / max(totals.known, 1))).otherwise(F.lit(unlabelled / others))
+    ids = docs.select("doc_id").distinct().join(good, "doc_id", "left").filter(draw < limit * (1 << 30))
+    drawn = store(ids.filter("doc_id IS NOT NULL"), "quality-drawn")  # as many ids as the two sizes say, so they can be broadcast
     named = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars"))
-    drawn = named.join(good, "doc_id", "left").filter(draw < limit * (1 << 30))
+    drawn = named.join(F.broadcast(drawn), "doc_id")
     features = store(_features(drawn.withColumn("key", F.xxhash64("doc_id", "text")).drop("doc_id")), "quality-sample")
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         model = co_train(frame, rounds)
         if model is None:
-            return pd.DataFrame({"name": [], "data": []})
+            return pd.DataFrame({"name": [], "data": []}, dtype=object)
         parts = {"chosen": model.chosen, "both": model.both}
         for name, view in (("text", model.text), ("page", model.page)):
             parts |= {f"{name}.{k}": getattr(view, k) for k in ("mean", "spread", "weights", "slope")}
