@@ -101,7 +101,7 @@ def popular_fallback(users: DataFrame, popular: DataFrame, k: int = 10) -> DataF
         users.select("user_id", F.col("top_category").cast("bigint").alias("top_category"))
         .join(by_category, "top_category", "left")
         .select(
-            "user_id", F.slice(F.array_distinct(F.concat(F.coalesce("category_items", empty), overall)), 1, k).alias("ids")
+            "user_id", F.slice(F.array_distinct(F.concat(F.coalesce("category_items", empty), F.coalesce(overall, empty))), 1, k).alias("ids")
         )
     )
     return merged.select("user_id", F.posexplode("ids").alias("pos", "item_id")).select(

@@ -121,8 +121,9 @@ class IvfIndex:
 
 
 def build_ivf(items: DataFrame, n_cells: int = 32, seed: int = 42) -> IvfIndex:
-    """Assign every item to the nearest of ``n_cells`` k-means centroids."""
-    vectors = items.select("item_id", "embedding", array_to_vector("embedding").alias("features"))
+    """Assign every item that has a vector to the nearest of ``n_cells`` k-means centroids."""
+    known = items.where(F.col("embedding").isNotNull())
+    vectors = known.select("item_id", "embedding", array_to_vector("embedding").alias("features"))
     # The row solver copes with fewer distinct vectors than cells; the block solver fails on them.
     model = KMeans(k=n_cells, seed=seed, maxIter=10, solver="row", predictionCol="cell").fit(vectors)
     centroids = np.array(model.clusterCenters())

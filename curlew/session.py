@@ -21,7 +21,9 @@ def scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    return _test_roots.setdefault(context.applicationId, tempfile.mkdtemp(prefix="curlew-"))
+    if context.applicationId not in _test_roots:
+        _test_roots[context.applicationId] = tempfile.mkdtemp(prefix="curlew-")
+    return _test_roots[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -36,11 +36,12 @@ def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_blobs(spark: SparkSession, path: str, keys: DataFrame, key: str) -> DataFrame:
-    """Binary files laid out as ``<key>=<value>/...`` attached to the wanted keys; keys without a file stay, with no
-    content."""
+    """Binary files laid out as ``<key>=<value>/...`` or ``<value>.<extension>`` attached to the wanted keys; keys without
+    a file stay, with no content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    folder, stem = F.regexp_extract("path", f"{key}=([^/]+)/", 1), F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
     named = files.select(
-        F.regexp_extract("path", f"{key}=([^/]+)/", 1).alias(key), F.col("length").alias("n_bytes"), "content"
+        F.coalesce(F.nullif(folder, F.lit("")), stem).alias(key), F.col("length").alias("n_bytes"), "content"
     )
     return keys.select(key).distinct().join(named, key, "left")
 
