@@ -45,7 +45,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the mix: where each stands, and its words."""
     pieces = mix_sources(docs).filter("n_words > 0")
-    return pieces.select("shard", "slot", "part", "row.doc_id", "row.source", "start", "n_words", "words")
+    return pieces.select("shard", "slot", "part", "doc_id", "source", "start", "n_words", "words")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

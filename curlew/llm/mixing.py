@@ -97,7 +97,7 @@ def mix_sources(
     shard_slots: int = SHARD_SLOTS,
     seed: int = 0,
 ) -> DataFrame:
-    """The pieces of the mix: shard, slot and part (the order inside the output), row (the document), size, source_size, target,
+    """The pieces of the mix: shard, slot and part (the order inside the output), doc_id and source of the document, size, source_size, target,
     start, n_words and words (the piece's words, joined by spaces).
 
     ``docs`` has doc_id, source and text. Words are what stands between ASCII white space; a null text has none and a null source is a
@@ -137,7 +137,10 @@ def mix_sources(
         .select("rank", "block", "use", F.floor(F.col("place") / shard_slots).alias("shard"), F.pmod("place", F.lit(shard_slots)).alias("slot"))
     )
     end = F.col("first") + F.col("size")
-    pieces = placed.withColumn(
+    # a document's words are cut into pieces before these are dealt out, so each word travels once per use
+    listed = F.filter(F.split("row.text", _BLANKS, -1), lambda w: w != "")
+    pieces = placed.select("*", "row.doc_id", "row.source", listed.alias("listed")).drop("row")
+    pieces = pieces.withColumn(
         "block",
         F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("first") / block), F.floor((end - 1) / block)))),
     )
@@ -146,15 +149,19 @@ def mix_sources(
     )
     taken = F.when(F.col("use").isNotNull(), F.greatest(F.lit(0), F.least("to", "use") - F.col("from")))
     start = F.col("block") * block + F.col("from") - F.col("first")
+    pieces = pieces.withColumn("start", start)
+    whole = F.slice("listed", (F.col("start") + 1).cast("int"), F.greatest(F.lit(0), F.col("to") - F.col("from")).cast("int"))
+    pieces = pieces.withColumn("piece", F.array_join(whole, " ")).drop("listed")
+    cut = F.array_join(F.slice(F.split("piece", " "), F.lit(1), F.col("n_words").cast("int")), " ")
     return (
         pieces.join(placed_slots, ["rank", "block"], "left")
         .withColumn("n_words", F.coalesce(taken, F.lit(0)).cast("bigint"))
-        .withColumn("start", start)
         .select(
             F.when(F.col("n_words") > 0, F.col("shard")).alias("shard"),
             F.when(F.col("n_words") > 0, F.col("slot")).alias("slot"),
             F.col("from").alias("part"),
-            "row",
+            "doc_id",
+            "source",
             "rank",
             "bucket",
             "nth",
@@ -163,17 +170,7 @@ def mix_sources(
             "target",
             "start",
             "n_words",
-            F.when(
-                F.col("n_words") > 0,
-                F.array_join(
-                    F.slice(
-                        F.filter(F.split("row.text", _BLANKS, -1), lambda w: w != ""),
-                        (F.col("start") + 1).cast("int"),
-                        F.col("n_words").cast("int"),
-                    ),
-                    " ",
-                ),
-            ).alias("words"),
+            F.when(F.col("n_words") == F.col("to") - F.col("from"), F.col("piece")).when(F.col("n_words") > 0, cut).alias("words"),
         )
     )
 
@@ -194,7 +191,7 @@ def _place_of_last(turn: Column, seed: int) -> Column:
 def taken_per_document(mix: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken, a row for each document."""
     return (
-        mix.groupBy("rank", "bucket", "nth", F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target")
+        mix.groupBy("rank", "bucket", "nth", "doc_id", "size", "source_size", "target")
         .agg(F.sum("n_words").alias("taken"))
         .select("doc_id", "size", "source_size", "target", "taken")
     )

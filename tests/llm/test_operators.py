@@ -88,8 +88,9 @@ def test_mix_pieces_are_the_documents_words(spark, docs):
     again = mix_sources(docs, block=7, shard_slots=5).filter("n_words > 0").toPandas()
     key = ["shard", "slot", "part", "words"]
     assert sorted(map(tuple, pieces[key].to_numpy())) == sorted(map(tuple, again[key].to_numpy()))
-    for row, start, n, words in zip(pieces["row"], pieces.start, pieces.n_words, pieces.words, strict=True):
-        assert words.split(" ") == _words(row["text"])[start : start + n]
+    texts = {row[0]: row[1] for row in EDGE}
+    for doc, start, n, words in zip(pieces.doc_id, pieces.start, pieces.n_words, pieces.words, strict=True):
+        assert words.split(" ") == _words(texts[None if doc != doc else doc])[start : start + n]
     places = pieces.groupby(["shard", "slot"]).n_words.sum()
     assert places.max() <= 7 and pieces.slot.max() < 5
 
