@@ -45,8 +45,9 @@ def asof_join(rows: DataFrame, history: DataFrame, keys: list[str], at: str, fea
     Time is cut into buckets so that no key has to be processed in one task: inside a (key, bucket) the feature rows
     and the rows are merged in time order, and what was last known before the bucket comes from a table with one row
     per (key, bucket). Buckets with more than ``hot_rows`` rows are cut finer, in proportion to their size. Ties on
-    time go to the newest ``created``.
+    time go to the newest ``created``. A null in a key matches nothing.
     """
+    history = history.dropna(subset=[*keys, ts])
     rows, history = _with_buckets(rows, history, keys, at, ts, bucket, hot_rows)
     columns = [c for c in rows.columns if c != "_bucket"]
     value = F.struct(F.col(ts).alias("feature_ts"), *features)

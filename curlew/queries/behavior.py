@@ -20,15 +20,16 @@ from curlew.sources import views
 # --- popularity -------------------------------------------------------------------------------------------------
 
 SCOPES_SQL = """
-SELECT 'global' AS scope, 0 AS scope_id, item_id, count(*) AS n FROM ixl JOIN items USING (item_id) GROUP BY item_id
+SELECT 'global' AS scope, 0 AS scope_id, item_id, count(*) AS n FROM ixl WHERE item_id IS NOT NULL GROUP BY item_id
 UNION ALL SELECT 'cat_l1', category_l1, item_id, count(*) FROM ixl JOIN items USING (item_id) GROUP BY 2, 3
 UNION ALL SELECT 'cat_l2', category_l2, item_id, count(*) FROM ixl JOIN items USING (item_id) GROUP BY 2, 3"""
 
 
 def scopes(spark, sf) -> DataFrame:
-    """Popularity scopes; counting per item first leaves one row per item to join and expand."""
+    """Popularity scopes; counting per item first leaves one row per item to join and expand. Items that the catalog lacks
+    count in the global scope."""
     counted = popularity.item_counts(views.ixl(spark, sf))
-    return popularity.popularity(counted.join(views.items(spark, sf), "item_id"), "n")
+    return popularity.popularity(counted.join(views.items(spark, sf), "item_id", "left"), "n")
 
 
 @query("item_counts", "SELECT item_id, count(*) AS n FROM ixl GROUP BY 1")

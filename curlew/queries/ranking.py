@@ -329,14 +329,15 @@ def refresh_ranker(spark, sf):
 @query(
     "score_candidates",
     f"""
-SELECT r.request_id, r.item_id, round(1 / (1 + exp(-4 * round(list_dot_product(q.embedding, i.embedding), 6))), 6) AS score
-FROM cand r JOIN emb q ON r.request_id = q.item_id JOIN emb i ON r.item_id = i.item_id""",
+SELECT r.request_id, r.item_id, round(1 / (1 + exp(-4 * coalesce(round(list_dot_product(q.embedding, i.embedding), 6), 0))), 6) AS score
+FROM cand r LEFT JOIN emb q ON r.request_id = q.item_id LEFT JOIN emb i ON r.item_id = i.item_id""",
 )
 def score_candidates(spark, sf):
+    """Every candidate is scored; a missing vector counts as zero."""
     pairs = candidates(spark, sf).select("request_id", "item_id")
     asked, items = queries_and_items(spark, sf)
-    joined = pairs.join(asked, "request_id").join(items, "item_id")
-    score = ranking.logistic_dot(F.round(dot(F.col("qvec"), F.col("embedding")), 6))
+    joined = pairs.join(asked, "request_id", "left").join(items, "item_id", "left")
+    score = ranking.logistic_dot(F.coalesce(F.round(dot(F.col("qvec"), F.col("embedding")), 6), F.lit(0.0)))
     return joined.select("request_id", "item_id", score.alias("score"))
 
 

@@ -165,7 +165,7 @@ def sink_embeddings_roundtrip(spark, sf):
     "sink_full_refresh",
     """
 SELECT scope, count(*) AS sets, CAST(sum(members) AS BIGINT) AS members, CAST(sum(n) AS BIGINT) AS n FROM (
-  SELECT 'global' AS scope, 0 AS id, count(DISTINCT item_id) AS members, count(*) AS n FROM ixl JOIN items USING (item_id)
+  SELECT 'global' AS scope, 0 AS id, count(DISTINCT item_id) AS members, count(*) AS n FROM ixl WHERE item_id IS NOT NULL
   UNION ALL SELECT 'cat_l1', category_l1, count(DISTINCT item_id), count(*) FROM ixl JOIN items USING (item_id) GROUP BY 2
   UNION ALL SELECT 'cat_l2', category_l2, count(DISTINCT item_id), count(*) FROM ixl JOIN items USING (item_id) GROUP BY 2)
 GROUP BY scope""",
@@ -174,7 +174,7 @@ def sink_full_refresh(spark, sf):
     path = scratch_path(spark, "popular")
     items = views.items(spark, sf)
     for source in (views.ix(spark, sf), views.ixl(spark, sf)):  # the second refresh replaces the first
-        sinks.refresh_ranked_sets(popularity(item_counts(source).join(items, "item_id"), "n"), path)
+        sinks.refresh_ranked_sets(popularity(item_counts(source).join(items, "item_id", "left"), "n"), path)
     per_set = spark.read.parquet(path).groupBy("scope", "scope_id").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n"))
     return per_set.groupBy("scope").agg(
         F.count(F.lit(1)).alias("sets"), F.sum("members").alias("members"), F.sum("n").alias("n")

@@ -210,6 +210,20 @@ def test_null_category_counts_globally_only(spark):
     assert rows(popularity.popularity(df), "scope", "scope_id", "n") == [("cat_l2", 4, 2), ("global", 0, 2)]
 
 
+def test_item_outside_the_catalog_counts_globally_only(spark):
+    counts = popularity.item_counts(frame(spark, [(1,), (9,), (9,)], "item_id bigint"))
+    catalog = frame(spark, [(1, 3, 4)], "item_id bigint, category_l1 int, category_l2 int")
+    out = popularity.popularity(counts.join(catalog, "item_id", "left"), "n")
+    assert rows(out, "scope", "scope_id", "item_id", "n") == [("cat_l1", 3, 1, 1), ("cat_l2", 4, 1, 1), ("global", 0, 1, 1), ("global", 0, 9, 2)]
+
+
+def test_asof_join_null_key_matches_nothing(spark):
+    facts = frame(spark, [(1, None, 50), (2, 1, 50)], "id bigint, user_id bigint, t bigint")
+    hist = frame(spark, [(None, 10, 1, 40), (1, 10, 1, 30)], "user_id bigint, datetime bigint, created bigint, age int")
+    out = history.asof_join(facts, hist, ["user_id"], "t", ["age"])
+    assert {(r.id, r.age) for r in out.collect()} == {(1, None), (2, 30)}
+
+
 @pytest.mark.parametrize("n, train", [(10, 7), (3, 2), (1, 0)])
 def test_positional_split(spark, n, train):
     out = splits.split_fraction(spark.range(n), ["id"])
