@@ -116,9 +116,11 @@ def mix_sources(
         .withColumn("wanted", wanted)
         .withColumn("passes", passes)
         .withColumn("slots", F.col("passes") * F.col("blocks") + F.least(F.ceil(rest / block) + 1, F.col("blocks")))
+        .withColumn("short", F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("passes")), lambda turn: _place_of_last(turn, seed)))
     )
     runs = plan.withColumn("from", F.explode(F.expr(f"sequence(0L, CAST(slots AS BIGINT), {RUN}L)"))).filter("`from` < slots")
-    runs = runs.repartition(F.col("rank"), F.col("from"))
+    # runs are few bytes and much work: a number of partitions keeps the adaptive planner from joining them into one task
+    runs = runs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "from")
     slots = runs.withColumn("nth_slot", F.explode(F.expr(f"sequence(`from`, least(`from` + {RUN - 1}L, CAST(slots AS BIGINT) - 1))")))
     turn = F.floor(F.col("nth_slot") / F.col("blocks"))
     step = F.pmod("nth_slot", "blocks")
@@ -126,7 +128,7 @@ def mix_sources(
     # only the last block of a source is short: words before a slot follow from where the pass meets it
     last_len = F.col("size") - (F.col("blocks") - 1) * block
     length = F.when(F.col("block") == F.col("blocks") - 1, last_len).otherwise(F.lit(block))
-    short_at = _place_of_last(turn, seed)
+    short_at = F.get("short", turn.cast("int"))
     before = turn * F.col("size") + step * block - F.when(step > short_at, block - last_len).otherwise(0)
     slots = slots.withColumn("use", F.least(length, F.col("wanted") - before)).filter("use > 0")
     totals = plan.select("rank", F.coalesce(F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("slots").over(Window.partitionBy()).alias("all"))
