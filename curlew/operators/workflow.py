@@ -97,17 +97,16 @@ TARGET = Part("target", passthrough=("click",), tags={"click": ("TARGET", "BINAR
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Frequency of every value of the given columns as ``(col, value, n)``.
 
-    Rows are first reduced to distinct combinations, so unpivoting touches far fewer rows than the input.
+    Rows become one (col, value) cell per column first, so the map side combines equal values and only those are shuffled.
     """
-    combined = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
     cells = F.explode(
         F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("bigint").alias("value")) for c in columns])
     )
     return (
-        combined.select("n", cells.alias("cell"))
+        df.select(cells.alias("cell"))
         .where(F.col("cell.value").isNotNull())
         .groupBy(F.col("cell.col").alias("col"), F.col("cell.value").alias("value"))
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
