@@ -3,8 +3,8 @@
 A candidate is a run of at least 12 letters, digits and the marks ``_ + / -`` with a letter and a digit. A forest judges it by its length, the
 transitions between kinds of characters, the share of it that words of the corpus cover, the path it may be part of, and the words next to
 it. The forest is trained on labelled findings. Where none are given, candidates that rules can tell label themselves: keys of a known
-form and values assigned to a telling name are secrets; identifiers, dates and candidates made of words are not; the rest is left to the
-forest.
+form and values assigned to a telling name are secrets; identifiers, dates and candidates made of words are not. Secrets, identifiers and
+dates that a rule is certain of, and values with a given label, keep that verdict; the rest is left to the forest.
 
 Only DataFrame and ML pipeline functions are used. Candidates are few against the text; the corpus is read once more to count the words
 that occur in candidates, joined by word with per-task sums first.
@@ -27,7 +27,8 @@ CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])
 KNOWN_FORMS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})$"
 TELLING_NAME = r"(?i)(pass(word|wd)?|pwd|token|secret|api[_-]?key|access[_-]?key|auth|credential)[\"']?\s*[=:]\s*[\"']?$"
 IDENTIFIER = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}.*|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9]+[a-z]{1,3}|[a-z]+[0-9]{1,4})$"
-LABELLED = 20_000  # findings that train the forest, drawn by a digest
+LABELLED = 20_000  # distinct findings that train the forest, drawn by a digest, up to half of them of each class
+CONTEXTS = 8  # of one value that may train
 TREES, DEPTH, SEED = 20, 6, 7
 LEAST_COUNT = 5  # occurrences of a word in the corpus
 CUT = 0.5
@@ -93,21 +94,46 @@ def _described(candidates: DataFrame) -> DataFrame:
     )
 
 
-def self_label(rows: DataFrame) -> Column:
-    """1 or 0 where a rule can tell, else null."""
+def certain_label() -> Column:
+    """1 or 0 where a rule decides by itself, else null."""
     value = F.col("value")
     secret = value.rlike(KNOWN_FORMS) | (F.col("before").rlike(TELLING_NAME) & (F.col("covered") < 0.5))
-    plain = value.rlike(IDENTIFIER) | (F.col("covered") >= 0.6) | (F.col("in_path") == 1)
-    return F.when(secret, 1.0).when(plain, 0.0)
+    return F.when(secret, 1.0).when(value.rlike(IDENTIFIER), 0.0)
+
+
+def self_label() -> Column:
+    """1 or 0 where a rule can tell, else null."""
+    return F.coalesce(certain_label(), F.when((F.col("covered") >= 0.6) | (F.col("in_path") == 1), 0.0))
+
+
+def _training(known: DataFrame, labelled: int) -> tuple[DataFrame, list[float]]:
+    """(label, features, weight) of distinct findings, and the labels there are; classes weigh alike.
+
+    Of a value, at most CONTEXTS contexts stay. A class gives all of its findings, or about half of ``labelled`` and at least one."""
+    context = F.xxhash64("value", "previous", "next", "in_path", "assigned", "quoted")
+    rows = known.select("label", "value", "features", context.alias("context"))
+    # copies and the contexts of a common value combine in each task
+    rows = rows.groupBy("label", "value", F.pmod("context", F.lit(CONTEXTS)).alias("slot")).agg(F.min_by("features", "context").alias("features"))
+    rows = store(rows.withColumn("draw", F.pmod(F.xxhash64("value", "slot"), F.lit(1 << 30))), "secret-findings")
+    found = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).collect()
+    share = {r.label: min(1.0, labelled / 2 / r.n) for r in found}
+    total = sum(r.n * share[r.label] for r in found)
+    drawn, weight = F.lit(False), F.lit(None).cast("double")
+    for r in found:
+        own = F.col("label") == r.label
+        drawn |= own & (F.col("draw") < max(share[r.label] * (1 << 30), r.least + 1))
+        weight = F.when(own, total / 2 / (r.n * share[r.label])).otherwise(weight)
+    return rows.filter(drawn).select("label", "features", weight.alias("weight")), [r.label for r in found]
 
 
 def find_secrets(docs: DataFrame, findings: DataFrame | None = None, cut: float = CUT, labelled: int = LABELLED) -> DataFrame:
     """For each document: ``row`` (the input row), secrets (array of start, end, value, score, in code points) and redacted (the text
     with each secret's value replaced).
 
-    ``docs`` has doc_id and text. ``findings`` has value and is_secret (1 or 0) and trains the forest instead of the rules. At most about
-    ``labelled`` findings train it; all candidates are judged. With labels of one class only, or none, that class, or the rules with
-    doubt left as no secret, decide. A null text has no secrets and stays null. Repeated rows get equal results; an empty table
+    ``docs`` has doc_id and text. ``findings`` has value and is_secret (1 or 0) and trains the forest instead of the rules. Of each class
+    at most about half of ``labelled`` distinct findings (value and context) train it, all if there are fewer; all candidates are judged,
+    and given labels and certain rules stand. With labels of one class only, or none, that class, or the rules with doubt left as no
+    secret, decide. A null text has no secrets and stays null. Repeated rows get equal results; an empty table
     gives no rows."""
     keyed = docs.select(F.struct("*").alias("row")).withColumn("row_key", F.xxhash64("row.doc_id", "row.text"))
     plain = keyed.select("row_key", F.coalesce("row.text", F.lit("")).alias("text"))
@@ -117,24 +143,18 @@ def find_secrets(docs: DataFrame, findings: DataFrame | None = None, cut: float
     rows = _described(rows)
     if findings is not None:
         given = findings.filter("value IS NOT NULL AND is_secret IS NOT NULL").groupBy("value").agg(F.max("is_secret").cast("double").alias("label"))
-        rows = rows.join(given, "value", "left")
+        rows = rows.join(given, "value", "left").withColumn("verdict", F.col("label"))
     else:
-        rows = rows.withColumn("label", self_label(rows))
+        rows = rows.withColumns({"label": self_label(), "verdict": certain_label()})
     hashed = FeatureHasher(inputCols=["previous", "next"], outputCol="neighbours", numFeatures=128).transform(rows.fillna("", ["previous", "next"]))
     rows = store(VectorAssembler(inputCols=[*NUMBERS, "neighbours"], outputCol="features").transform(hashed).drop("neighbours"), "secret-rows")
 
-    known = rows.filter("label IS NOT NULL")
-    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) == 2:
-        draw = F.pmod(F.xxhash64("value", "row_key", "start"), F.lit(1 << 30)) < F.lit(min(1.0, labelled / sum(counts.values())) * (1 << 30))
-        # classes weigh alike
-        sample = known.filter(draw | (F.lit(min(counts.values())) <= 50)).withColumn(
-            "weight", F.when(F.col("label") == 1, F.lit(0.5 / counts[1.0])).otherwise(F.lit(0.5 / counts[0.0])) * sum(counts.values())
-        )
+    sample, labels = _training(rows.filter("label IS NOT NULL"), labelled)
+    if len(labels) == 2:
         forest = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-        judged = forest.fit(sample).transform(rows).withColumn("score", vector_to_array("probability")[1])
-    elif counts and findings is not None:
-        judged = rows.withColumn("score", F.lit(float(next(iter(counts)))))
+        judged = forest.fit(sample).transform(rows).withColumn("score", F.coalesce("verdict", vector_to_array("probability")[1]))
+    elif labels and findings is not None:
+        judged = rows.withColumn("score", F.lit(float(labels[0])))
     else:
         judged = rows.withColumn("score", F.coalesce("label", F.lit(0.0)))
     secrets = judged.filter(F.col("score") >= cut).groupBy("row_key")

@@ -261,6 +261,26 @@ def test_secrets_by_given_findings(spark):
             assert row.secrets[0].value not in row.redacted and "[SECRET]" in row.redacted
 
 
+def test_secrets_train_on_both_classes_however_rare_one_is(spark):
+    rng = random.Random(8)
+    keys = ["AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(16)) for _ in range(60)]
+    common = f"password={keys[0][::-1]} again"  # one value in a third of all rows
+    texts = [f"see item{'abcdefgh'[i % 8] * 5}{i % 10000} there" for i in range(4000)] + [f"old {k} here" for k in keys] + [common] * 2000
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    masked = {r.text for r in secrets.find_secrets(df, labelled=20).filter("redacted LIKE '%[SECRET]%'").select("row.text").collect()}
+    assert masked == {t for t in texts if not t.startswith("see")}
+
+    findings = [(0.0, f"plain{i}", "a") for i in range(3000)] + [(1.0, f"rare{i}", "a") for i in range(60)] + [(1.0, "hot", f"w{i}") for i in range(2000)]
+    known = spark.createDataFrame(findings, "label double, value string, next string").selectExpr(
+        "label", "value", "next", "value AS features", "'' AS previous", "0D AS in_path", "0D AS assigned", "0D AS quoted"
+    )
+    sample, labels = secrets._training(known, 400)
+    rows = sample.collect()
+    assert sorted(labels) == [0.0, 1.0]
+    assert sum(r.features.startswith("rare") for r in rows) == 60 and sum(r.features == "hot" for r in rows) == secrets.CONTEXTS
+    assert 140 < sum(r.label == 0 for r in rows) < 260
+
+
 def test_secrets_edges(docs, no_docs):
     out = {r.row.doc_id: r for r in secrets.find_secrets(docs).collect()}
     assert out[1].redacted is None and out[9].redacted.endswith("key [SECRET]")
