@@ -6,8 +6,8 @@ it. The forest is trained on labelled findings. Where none are given, candidates
 form and values assigned to a telling name are secrets; identifiers, dates and candidates made of words are not. Secrets, identifiers and
 dates that a rule is certain of, and values with a given label, keep that verdict; the rest is left to the forest.
 
-Only DataFrame and ML pipeline functions are used. Candidates are few against the text; the corpus is read once more to count the words
-that occur in candidates, joined by word with per-task sums first.
+Only DataFrame and ML pipeline functions are used. Candidates are few against the text; the corpus is read again to count the texts in which
+the words that occur in candidates stand outside of them. Copies of a text count once.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ IDENTIFIER = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}.*|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}
 LABELLED = 20_000  # distinct findings that train the forest, drawn by a digest, up to half of them of each class
 CONTEXTS = 8  # of one value that may train
 TREES, DEPTH, SEED = 20, 6, 7
-LEAST_COUNT = 5  # occurrences of a word in the corpus
+LEAST_COUNT = 5  # distinct texts that make a run of letters a word,
+LEAST_SHARE = 1e-5  # or this share of all distinct texts, where that is more
 CUT = 0.5
 MASK = "[SECRET]"
 _KINDS = {"l": "[a-z]", "u": "[A-Z]", "d": "[0-9]", "m": "[_+/-]"}
@@ -56,13 +57,19 @@ def _candidates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _covered(values: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """(value, covered): the share of each value that stands in words of the corpus, by runs of three letters and more."""
+def _covered(values: DataFrame, docs: DataFrame, least: int, share: float) -> DataFrame:
+    """(value, covered): the share of each value that stands in words of the corpus, by runs of three letters and more.
+
+    A word stands outside candidates in at least ``least`` distinct texts and in ``share`` of them."""
     runs = values.select("value", F.explode(F.regexp_extract_all("value", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("run"))
     runs = runs.withColumn("run", F.lower("run"))
     wanted = store(runs.select("run").distinct(), "secret-runs")
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[\s!-/:-@\[-`{-~]+")).alias("run")).filter(F.length("run") >= 3)
-    known = words.join(wanted, "run").groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    texts = docs.filter("text <> ''").select(F.xxhash64("text").alias("text_key"), F.regexp_replace("text", CANDIDATE, " ").alias("text"))
+    n_texts = docs.filter("text <> ''").select(F.count_distinct(F.xxhash64("text")).alias("n")).first().n
+    words = texts.select("text_key", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\s!-/:-@\[-`{-~]+"))).alias("run")).filter(F.length("run") >= 3)
+    # a pair per word and text, then sums in each task: no word's texts meet in one place
+    pairs = words.join(wanted, "run").groupBy("run", "text_key").agg(F.lit(1).alias("one"))
+    known = pairs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(least, share * n_texts))
     sums = runs.join(known.select("run"), "run").groupBy("value").agg(F.sum(F.length("run")).alias("letters"))
     return sums.select("value", F.least(F.lit(1.0), F.col("letters") / F.length("value")).alias("covered"))
 
@@ -138,7 +145,7 @@ def find_secrets(docs: DataFrame, findings: DataFrame | None = None, cut: float
     keyed = docs.select(F.struct("*").alias("row")).withColumn("row_key", F.xxhash64("row.doc_id", "row.text"))
     plain = keyed.select("row_key", F.coalesce("row.text", F.lit("")).alias("text"))
     candidates = store(_candidates(plain), "secret-candidates")
-    covered = _covered(candidates.select("value").distinct(), plain, LEAST_COUNT)
+    covered = _covered(candidates.select("value").distinct(), plain, LEAST_COUNT, LEAST_SHARE)
     rows = candidates.join(covered, "value", "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
     rows = _described(rows)
     if findings is not None:

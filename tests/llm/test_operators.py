@@ -281,6 +281,19 @@ def test_secrets_train_on_both_classes_however_rare_one_is(spark):
     assert 140 < sum(r.label == 0 for r in rows) < 260
 
 
+def test_secrets_copies_do_not_make_words(spark):
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    # a secret in differing texts, and a text with junk runs in many copies
+    texts = [f"note {'abcdefgh'[i] * 4}: aws_secret_access_key = {key}" for i in range(8)] + ["Zqxjk, Vwpfh and Kjhgf"] * 9 + [f"common thing {i}" for i in range(6)]
+    plain = spark.createDataFrame(list(enumerate(texts)), "row_key bigint, text string")
+    values = spark.createDataFrame([(key,), ("zqxjk7vwpfh8kjhgf",), ("common_thing_12",)], "value string")
+    covered = {r.value: r.covered for r in secrets._covered(values, plain, secrets.LEAST_COUNT, secrets.LEAST_SHARE).collect()}
+    assert covered == {"common_thing_12": pytest.approx(11 / 15)}
+    assert secrets._covered(values, plain, secrets.LEAST_COUNT, 0.5).count() == 0
+    out = secrets.find_secrets(plain.withColumnRenamed("row_key", "doc_id")).collect()
+    assert [r.row.doc_id for r in out if key in (r.redacted or "")] == [] and sum("[SECRET]" in r.redacted for r in out) == 8
+
+
 def test_secrets_edges(docs, no_docs):
     out = {r.row.doc_id: r for r in secrets.find_secrets(docs).collect()}
     assert out[1].redacted is None and out[9].redacted.endswith("key [SECRET]")
