@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +71,7 @@ class Lattice:
     def __init__(self, scores: dict[str, float]):
         self.pieces = list(scores)
         self.scores = scores
+        self.place = {p: i for i, p in enumerate(self.pieces)}
         numbers = np.array([self._number(p) for p in self.pieces], np.uint64)
         order = np.argsort(numbers)
         self.numbers, self.order = numbers[order], order
@@ -148,10 +151,9 @@ class Lattice:
                 out[i] = self.long_word(word)
         return out
 
-    def long_word(self, word: str) -> float:
-        """The same for one word of any length."""
-        text, rest = MARK + word, math.log1p(-CHARACTER_SHARE)
-        alpha = [0.0]
+    def _long_forward(self, text: str) -> array:
+        rest = math.log1p(-CHARACTER_SHARE)
+        alpha = array("d", [0.0])
         for end in range(1, len(text) + 1):
             terms = [alpha[end - 1] + self.character]
             for start in range(max(0, end - LONGEST_PIECE), end):
@@ -160,10 +162,30 @@ class Lattice:
                     terms.append(alpha[start] + score + rest)
             top = max(terms)
             alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
-        return alpha[-1]
+        return alpha
+
+    def long_word(self, word: str) -> float:
+        """The same for one word of any length."""
+        return self._long_forward(MARK + word)[-1]
+
+    def _add_long(self, word: str, times: float, counts: np.ndarray) -> None:
+        """Add the expected pieces of one word of any length to ``counts``; only the nearest values behind a place are kept."""
+        text, rest = MARK + word, math.log1p(-CHARACTER_SHARE)
+        alpha = self._long_forward(text)
+        beta = deque([0.0], LONGEST_PIECE)  # of the places behind ``start``, the nearest first
+        for start in range(len(text) - 1, -1, -1):
+            terms = [beta[0] + self.character]
+            for size, behind in enumerate(beta, 1):
+                piece = text[start : start + size]
+                score = self.scores.get(piece)
+                if score is not None:
+                    terms.append(score + rest + behind)
+                    counts[self.place[piece]] += times * math.exp(alpha[start] + terms[-1] - alpha[-1])
+            top = max(terms)
+            beta.appendleft(top + math.log(sum(math.exp(t - top) for t in terms)))
 
     def expected(self, words: list[str], times: np.ndarray) -> np.ndarray:
-        """Expected number of each piece in all words, each taken ``times``. Words that go alone teach nothing."""
+        """Expected number of each piece in all words, each taken ``times``."""
         counts = np.zeros(len(self.pieces))
         for places, codes in self._groups(words):
             length, edges = len(codes), self._edges(codes)
@@ -180,6 +202,9 @@ class Lattice:
                 share = np.exp(alpha[start] + self.values[found] + beta[end] - alpha[-1]) * times[places]
                 true = found >= 0
                 counts += np.bincount(found[true], share[true], len(counts))
+        for word, n in zip(words, times, strict=True):
+            if len(word) >= self.TOGETHER:
+                self._add_long(word, float(n), counts)
         return counts
 
 

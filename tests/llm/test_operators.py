@@ -206,6 +206,19 @@ def test_lattice_equals_enumeration():
     assert np.isfinite(model.log_probabilities(["ab" * 5000])).all()
 
 
+def test_lattice_long_words_train():
+    rng = random.Random(6)
+    scores = {p: math.log(0.1) for p in ["▁a", "a", "b", "ab", "▁ab", "ba", "ab" * 8, "b" * 16]}
+    words = ["".join(rng.choice("abbc") for _ in range(n)) for n in (0, 1, 17, 63, 64, 65, 200)] + ["ab" * 70]
+    times = np.array([3.0, 1.0, 2.0, 1.0, 5.0, 1.0, 2.0, 4.0])
+    model, grouped = lattice.Lattice(scores), lattice.Lattice(scores)
+    grouped.TOGETHER = 1000
+    for i in range(len(words)):
+        assert model.expected(words[i : i + 1], times[i : i + 1]) == pytest.approx(grouped.expected(words[i : i + 1], times[i : i + 1]), abs=1e-9)
+    assert model.expected(words, times) == pytest.approx(grouped.expected(words, times))
+    assert np.isfinite(model.expected(["ab" * 5000], np.ones(1))).all() and model.expected(["ab" * 5000], np.ones(1)).sum() > 600
+
+
 def test_lattice_base_equals_counting(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     tokens = {r.doc_id: [w.lower() for w in (r.text or "").encode().split()] + [None] for r in rows}
