@@ -6,9 +6,10 @@ are put in where one is missing. An automaton with a state for the last role rea
 through it, and the repaired turns are rendered with role marks.
 
 The automaton has four states, so the best costs over a piece of a conversation are a 4 x 4 table, and tables of neighbouring pieces are
-chained by minimum sums. A conversation is cut into pieces of ``PIECE`` turns: pieces are solved on their own, a conversation's tables (a
-few numbers per piece) are chained, and each piece then traces its own way between the states it was given. No task holds more than a
-piece's turns, however long a conversation is.
+chained by minimum sums. A distributed running count cuts a conversation into pieces of ``PIECE`` turns: pieces are solved on their own, their
+tables are chained level by level, ``PIECE`` at a time, and each piece then traces its own way between the states it was given. No group
+holds more than ``PIECE`` turns or tables, however long a conversation is and whatever its turn numbers are. Only the last step
+gathers a conversation, as its text is one value, which Spark limits to 2 GB; ``rendered_pieces`` has the same text as rows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curlew.llm.registry import query, table
+from curlew.operators.rowindex import with_row_index
 from curlew.session import store
 
 PIECE = 1024
@@ -102,51 +104,83 @@ def _numbered(turns: DataFrame) -> DataFrame:
 
 
 def _pieces(plain: DataFrame, piece: int) -> DataFrame:
-    """Add the piece of each turn: of about ``piece`` turns, cut by turn numbers; turns of one number stay together by a digest."""
-    span = F.floor(F.coalesce("turn", F.lit((1 << 62))) / piece)
-    return plain.withColumn("piece", span)
-
-
-def repair(turns: DataFrame, piece: int = PIECE) -> DataFrame:
-    """conv_id, n_turns, cost, n_merged, n_relabelled, n_inserted and text (the rendered conversation), a row per conversation.
-
-    ``turns`` has conv_id, turn (a whole number), role and text. Turns are read by number, null last, then role and text, so repeated rows are
-    turns in a row. Roles are compared without case and blanks, by their other names too; any other role, or null, fits none and is
-    relabelled. A null text is empty. Rows with a null conv_id belong to no conversation and are left out. Other columns are not
-    looked at; an empty table gives no rows. Costs: MERGE, RELABEL and INSERT; of equal ways the first in the order of moves."""
-    cut = _pieces(_numbered(turns), piece)
-    numbered = store(cut, "chat-turns")
+    """Add ``at``, the turn's place in the order of all turns, and the piece it is in: ``piece`` turns of its conversation."""
+    order = [F.col("conv_id"), *[F.col(c).asc_nulls_last() for c in ("turn", "role", "text")]]
+    placed = with_row_index(plain, order, "at")
+    firsts = placed.groupBy("conv_id").agg(F.min("at").alias("first_at"))
+    return placed.join(firsts, "conv_id").withColumn("piece", F.floor((F.col("at") - F.col("first_at")) / piece)).drop("first_at")
+
+
+def _ways(tables: DataFrame, piece: int) -> DataFrame:
+    """(conv_id, piece, first, last, cost): the states before and behind each piece on the cheapest way, and the conversation's cost.
+
+    Up to ``piece`` neighbouring tables become one of the next level until each conversation has one; the states then come down again."""
+    fan = max(2, piece)
+    levels = [tables]
+    while not levels[-1].filter("piece > 0").isEmpty():
+
+        def join_up(key, frame: pd.DataFrame) -> pd.DataFrame:
+            parts = [np.array(c).reshape(STATES, STATES) for c in frame.sort_values("piece").costs]
+            whole = parts[0]
+            for part in parts[1:]:
+                whole = chain(whole, part)
+            return pd.DataFrame({"conv_id": [key[0]], "piece": [key[1]], "costs": [whole.ravel().tolist()]})
+
+        above = levels[-1].groupBy("conv_id", F.floor(F.col("piece") / fan).alias("above")).applyInPandas(join_up, _TABLES)
+        levels.append(store(above, "chat-costs"))
+
+    def top(batches):
+        for batch in batches:
+            best = [np.array(c)[:STATES] + END for c in batch.costs]  # from the start
+            last = [int(np.argmin(b)) for b in best]
+            cost = [int(b.min()) for b in best]
+            yield pd.DataFrame({"conv_id": batch.conv_id, "piece": batch.piece, "first": START, "last": last, "cost": cost})
+
+    ways = levels[-1].mapInPandas(top, _WAYS)
+    for below in reversed(levels[:-1]):
+
+        def settle(key, frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("piece")
+            parts = [np.array(c).reshape(STATES, STATES) for c in frame.costs]
+            end = np.full(STATES, FOREVER, np.int64)
+            end[int(frame["last"].iloc[0])] = 0
+            ahead = [end]  # least cost from each state behind a piece to the end
+            for part in reversed(parts[1:]):
+                ahead.append(np.minimum((part + ahead[-1][None, :]).min(axis=1), FOREVER))
+            ahead.reverse()
+            state, firsts, lasts = int(frame["first"].iloc[0]), [], []
+            for part, rest in zip(parts, ahead, strict=True):
+                firsts.append(state)
+                state = int(np.argmin(part[state] + rest))
+                lasts.append(state)
+            return pd.DataFrame({"conv_id": key[0], "piece": frame.piece, "first": firsts, "last": lasts, "cost": frame.cost})
+
+        held = ways.withColumnRenamed("piece", "above")
+        parts = below.withColumn("above", F.floor(F.col("piece") / fan)).join(held, ["conv_id", "above"])
+        ways = parts.groupBy("conv_id", "above").applyInPandas(settle, _WAYS)
+    return ways
+
+
+_TABLES = "conv_id bigint, piece bigint, costs array<bigint>"
+_WAYS = "conv_id bigint, piece bigint, first int, last int, cost bigint"
+
+
+def rendered_pieces(turns: DataFrame, piece: int = PIECE) -> DataFrame:
+    """conv_id, piece (0 up), n, merged, relabelled, inserted, body, last (state) and cost (the conversation's): a row per piece.
+
+    ``turns`` as for ``repair``. The bodies of a conversation in the order of its pieces, less the first mark, are its text without the end."""
+    numbered = store(_pieces(_numbered(turns), piece), "chat-turns")
 
     def solve(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["turn", "role", "text"], na_position="last", kind="stable")
+        frame = frame.sort_values("at")
         costs = piece_costs(frame.role.to_numpy())
         return pd.DataFrame({"conv_id": [key[0]], "piece": [key[1]], "costs": [costs.ravel().tolist()]})
 
-    tables = numbered.groupBy("conv_id", "piece").applyInPandas(solve, "conv_id bigint, piece bigint, costs array<bigint>")
-    tables = store(tables, "chat-costs")
-
-    def settle(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("piece")
-        parts = [np.array(c).reshape(STATES, STATES) for c in frame.costs]
-        ahead = [END]  # least cost from each state behind a piece to the end
-        for part in reversed(parts[1:]):
-            ahead.append(np.minimum((part + ahead[-1][None, :]).min(axis=1), FOREVER))
-        ahead.reverse()
-        state, firsts, lasts, total = START, [], [], 0
-        for part, rest in zip(parts, ahead, strict=True):
-            firsts.append(state)
-            step = int(np.argmin(part[state] + rest))
-            total += int(part[state][step])
-            state = step
-            lasts.append(state)
-        total += int(END[state])
-        return pd.DataFrame({"conv_id": key[0], "piece": frame.piece, "first": firsts, "last": lasts, "cost": total})
-
-    ways = tables.groupBy("conv_id").applyInPandas(settle, "conv_id bigint, piece bigint, first int, last int, cost bigint")
-    routed = numbered.join(ways, ["conv_id", "piece"])
+    tables = store(numbered.groupBy("conv_id", "piece").applyInPandas(solve, _TABLES), "chat-costs")
+    routed = numbered.join(store(_ways(tables, piece), "chat-ways"), ["conv_id", "piece"])
 
     def write(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["turn", "role", "text"], na_position="last", kind="stable")
+        frame = frame.sort_values("at")
         roles = frame.role.to_numpy()
         out, merged, relabelled, inserted = [], 0, 0, 0
         for own, text, (state, action) in zip(roles, frame.text, trace(roles, int(frame["first"].iloc[0]), int(frame["last"].iloc[0])), strict=True):
@@ -162,10 +196,20 @@ def repair(turns: DataFrame, piece: int = PIECE) -> DataFrame:
         row = {"conv_id": key[0], "piece": key[1], "n": len(frame), "merged": merged, "relabelled": int(relabelled), "inserted": inserted}
         return pd.DataFrame([row | {"body": "".join(out), "last": int(frame["last"].iloc[0]), "cost": int(frame["cost"].iloc[0])}])
 
-    written = routed.groupBy("conv_id", "piece").applyInPandas(
+    return routed.groupBy("conv_id", "piece").applyInPandas(
         write, "conv_id bigint, piece bigint, n bigint, merged bigint, relabelled bigint, inserted bigint, body string, last int, cost bigint"
     )
-    whole = written.groupBy("conv_id").agg(
+
+
+def repair(turns: DataFrame, piece: int = PIECE) -> DataFrame:
+    """conv_id, n_turns, cost, n_merged, n_relabelled, n_inserted and text (the rendered conversation), a row per conversation.
+
+    ``turns`` has conv_id, turn (a whole number), role and text. Turns are read by number, null last, then role and text, so repeated rows are
+    turns in a row. Roles are compared without case and blanks, by their other names too; any other role, or null, fits none and is
+    relabelled. A null text is empty. Rows with a null conv_id belong to no conversation and are left out. Other columns are not
+    looked at; an empty table gives no rows. A text is one value, so it must stay below 2 GB; longer ones are in ``rendered_pieces``. Costs:
+    MERGE, RELABEL and INSERT; of equal ways the first in the order of moves."""
+    whole = rendered_pieces(turns, piece).groupBy("conv_id").agg(
         F.sum("n").alias("n_turns"),
         F.max("cost").alias("cost"),
         F.sum("merged").alias("n_merged"),

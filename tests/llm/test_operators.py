@@ -348,6 +348,23 @@ def test_chat_repairs_at_least_cost(spark, piece):
         assert re.findall(r"^(t\d+)(?:<\|end\|>)?$", out[c].text, re.M) == [t[3] for t in own]
 
 
+def test_chat_pieces_hold_counted_turns(spark):
+    rng = random.Random(3)
+    # no numbers, one number, numbers far apart
+    turns = [(c, (None, 7, t << 40)[c], rng.choice(["user", "assistant", "tool"]), f"t{t:03}") for c in range(3) for t in range(100)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    cut = chat._pieces(chat._numbered(df), 3).groupBy("conv_id", "piece").count().collect()
+    assert sorted((r.conv_id, r.piece, r["count"]) for r in cut) == [(c, p, 3 if p < 33 else 1) for c in range(3) for p in range(34)]
+    whole = {r.conv_id: r for r in chat.repair(df, 1024).collect()}
+    out = {r.conv_id: r for r in chat.repair(df, 3).collect()}
+    number = {"user": 2, "assistant": 3, "tool": 0}
+    assert out[2].cost == _cheapest([number[t[2]] for t in turns if t[0] == 2])
+    for c in range(3):
+        assert (out[c].cost, out[c].n_turns) == (whole[c].cost, 100)
+        assert out[c].cost == chat.MERGE * out[c].n_merged + chat.RELABEL * out[c].n_relabelled + chat.INSERT * out[c].n_inserted
+        assert re.findall(r"t\d{3}", out[c].text) == re.findall(r"t\d{3}", whole[c].text)
+
+
 def test_chat_empty(spark):
     assert chat.repair(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
