@@ -24,10 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id; of rows that share it, one."""
+    """Of each group of similar documents the one with the smallest id, null only if all are; of rows that share it, the one with the
+    smallest digest of its text. Documents without links all stay, whatever their ids."""
     first = similar_documents(docs).filter(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
-    kept = first.select("row.*")
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    digests = F.struct(F.xxhash64("row.text").alias("text"), F.xxhash64("row").alias("all"))
+    groups = first.filter("part IS NOT NULL").groupBy("part").agg(F.min_by("row", digests).alias("row"))
+    return first.filter("part IS NULL").select("row.*").unionByName(groups.select("row.*"))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -310,7 +310,7 @@ def _class_links(classes: DataFrame, percent: int, block_tokens: int) -> DataFra
 
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """For each document: ``row`` (the input row), n_shingles and component_id.
+    """For each document: ``row`` (the input row), n_shingles, component_id and part (a number of its group, null for one without links).
 
     ``docs`` has doc_id and text. A-Z is lower-cased; words stand between ASCII white space; a document's set holds its distinct runs of
     ``size`` words, or its whole sequence when it is shorter. Two documents are linked when the intersection of their sets is at least
@@ -336,9 +336,9 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHING
     texts = texts.select("text_key", F.coalesce("component", "class").alias("part"))
     least = keyed.groupBy("text_key").agg(F.min("row.doc_id").alias("least")).join(texts, "text_key")
     first = least.groupBy("part").agg(F.min("least").alias("first_id"))
-    labels = sieved.select("text_key", "size").join(texts.join(first, "part").select("text_key", "first_id"), "text_key", "left")
+    labels = sieved.select("text_key", "size").join(texts.join(first, "part").select("text_key", "part", "first_id"), "text_key", "left")
     return keyed.join(store(labels, "join-labels"), "text_key", "left").select(
-        "row", F.col("size").alias("n_shingles"), F.coalesce("first_id", "row.doc_id").alias("component_id")
+        "row", F.col("size").alias("n_shingles"), F.coalesce("first_id", "row.doc_id").alias("component_id"), "part"
     )
 
 

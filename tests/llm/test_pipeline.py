@@ -26,6 +26,18 @@ def test_stages_keep_columns_and_take_effect(spark, sf, tmp_path):
     assert {"shard", "slot", "doc_id", "words"} <= set(docs.columns)
 
 
+def test_one_row_of_each_group_stays(spark, sf):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "clean text of its own here"), (1, "another text with nothing in common"), (None, long), (None, long), (None, long + " end"), (None, ""), (None, "")]
+    rows += [(4, long.upper().replace("W", "v")), (None, long.replace("w", "v")), (4, long.replace("w", "v") + " end")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()]
+    assert {r for r in rows if r[0] == 1} <= set(out)
+    assert sum(i is None and (t or "").startswith("w0") for i, t in out) == 1
+    assert sum((t or "").lower().startswith("v0") for _, t in out) == 1 and sum(i == 4 for i, _ in out) == 1
+    assert out.count((None, "")) == 2 and len(out) == 6
+
+
 def test_empty_documents(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
