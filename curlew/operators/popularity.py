@@ -78,11 +78,9 @@ def top_category(interactions: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def popular_fallback(users: DataFrame, popular: DataFrame, k: int = 10) -> DataFrame:
-    """A list of ``k`` items per user without a vector: the user's top category first, then the global list.
-
-    The lists hold at most ``k`` items per category. They are stored once, counted, and broadcast if they are few.
-    """
+def ranked_lists(popular: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The ``k`` most popular items of each level-1 category ``(top_category, category_items)`` and over all
+    ``(overall)``, in order. The lists are stored once; those of the categories are broadcast if they are few."""
     ranked = top_n(popular.where(F.col("scope").isin("global", "cat_l1")), k)
     lists = store(
         ranked.groupBy("scope", "scope_id").agg(
@@ -93,9 +91,18 @@ def popular_fallback(users: DataFrame, popular: DataFrame, k: int = 10) -> DataF
     by_category = lists.where(F.col("scope") == "cat_l1").select(
         F.col("scope_id").alias("top_category"), F.col("entries.item_id").alias("category_items")
     )
-    overall = lists.where(F.col("scope") == "global").select("entries.item_id").scalar()
-    if lists.count() <= BROADCAST_LISTS:
+    if lists.count() * k <= BROADCAST_LISTS * 10:
         by_category = F.broadcast(by_category)
+    return by_category, lists.where(F.col("scope") == "global").select(F.col("entries.item_id").alias("overall"))
+
+
+def popular_fallback(users: DataFrame, popular: DataFrame, k: int = 10) -> DataFrame:
+    """A list of ``k`` items per user without a vector: the user's top category first, then the global list.
+
+    The lists hold at most ``k`` items per category.
+    """
+    by_category, overall = ranked_lists(popular, k)
+    overall = overall.select("overall").scalar()
     empty = F.array().cast("array<bigint>")
     merged = (
         users.select("user_id", F.col("top_category").cast("bigint").alias("top_category"))
@@ -107,3 +114,43 @@ def popular_fallback(users: DataFrame, popular: DataFrame, k: int = 10) -> DataF
     return merged.select("user_id", F.posexplode("ids").alias("pos", "item_id")).select(
         "user_id", (F.col("pos") + 1).alias("rank"), "item_id"
     )
+
+
+def fill_lists(short: DataFrame, popular: DataFrame, seen: DataFrame | None, depth: int) -> DataFrame:
+    """What follows a user's own candidates: ``(user_id, found, fill)`` with ``fill`` an ordered array of
+    ``(item_id, source)``.
+
+    ``short`` has ``user_id``, ``top_category`` and ``found``, the items (an array) that the user's lists hold already.
+    The popular items of the user's category come first (source ``category``), then those over all (``popular``), both
+    ``depth`` long and without what was found. Items the user has seen come after all others in the same order, so that
+    a user who has seen everything popular still gets an answer. Of the seen table only rows that meet one of these two
+    lists reach a user's group, so it is bounded by twice the depth.
+    """
+    by_category, overall = ranked_lists(popular, depth)
+    empty = F.array().cast("array<bigint>")
+    everywhere = F.coalesce(overall.select("overall").scalar(), empty)
+    listed = (
+        short.select("user_id", F.col("top_category").cast("bigint").alias("top_category"), F.coalesce("found", empty).alias("found"))
+        .join(by_category, "top_category", "left")
+        .withColumn("category_items", F.array_except(F.coalesce("category_items", empty), "found"))
+        .withColumn("pool", F.array_except(F.array_union("category_items", everywhere), "found"))
+    )
+    if seen is None:
+        ordered = listed.withColumn("ids", F.col("pool"))
+    else:
+        listed = store(listed.drop("top_category"), "fill")
+        met = (
+            seen.select("user_id", "item_id")
+            .join(listed.select("user_id", "pool"), "user_id")
+            .where(F.array_contains("pool", F.col("item_id")))
+            .groupBy("user_id")
+            .agg(F.collect_set("item_id").alias("met"))
+        )
+        met_items = F.coalesce("met", empty)
+        ids = F.concat(F.array_except("pool", met_items), F.array_intersect("pool", met_items))
+        ordered = listed.join(met, "user_id", "left").withColumn("ids", ids)
+    own = F.col("category_items")
+    source = F.transform(
+        "ids", lambda i: F.struct(i.alias("item_id"), F.when(F.array_contains(own, i), "category").otherwise("popular").alias("source"))
+    )
+    return ordered.select("user_id", "found", source.alias("fill"))

@@ -12,10 +12,10 @@ from curlew.operators import catalog, encode, evaluate, models, ranking, samplin
 from curlew.operators.behavior import active_seen
 from curlew.operators.workflow import CONTEXT, ITEM, USER
 from curlew.plans.recommend import recommend
-from curlew.queries.behavior import flushes, raw_incremental_sets, touches
+from curlew.queries.behavior import SCOPES_SQL, flushes, raw_incremental_sets, scopes, touches
 from curlew.queries.features import fitted, fitted_default_age, online_users, requests
 from curlew.queries.registry import query
-from curlew.queries.sql_views import h32, seen_sql, uniform
+from curlew.queries.sql_views import h32, latest, seen_sql, uniform
 from curlew.session import store
 from curlew.sources import views
 
@@ -110,6 +110,17 @@ def rank_greedy(spark, sf):
 RACE_SQL = f"round(ln(-ln({uniform('request_id', 'item_id', seed=42)})) - 20 * score, 9)"
 
 
+@query(
+    "rank_top_k",
+    "SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item_id) AS rank, request_id % 14 - 1 AS top_k FROM cand "
+    "QUALIFY rank <= CASE WHEN top_k < 0 THEN greatest(0, 10 + top_k) ELSE least(top_k, 10) END",
+)
+def rank_top_k(spark, sf):
+    """Each request's own number of candidates, at most 10."""
+    asked = candidates(spark, sf).withColumn("top_k", (F.pmod("request_id", F.lit(14)) - 1).cast("int"))
+    return ranking.rank(asked, 10, top_k="top_k")
+
+
 @query("rank_sampled", f"SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {RACE_SQL}, item_id) AS rank FROM cand QUALIFY rank <= 10")
 def rank_sampled(spark, sf):
     return ranking.rank(candidates(spark, sf), 10, diversity=True)
@@ -343,22 +354,47 @@ def score_candidates(spark, sf):
 
 # --- end to end -------------------------------------------------------------------------------------------------
 
-RECOMMEND_SQL = f"""
-SELECT t.request_id, t.user_id, t.item_id, t.item_code, t.dot, t.score, t.rank, coalesce(title, '') AS title, coalesce(m.category_l1, '') AS category_l1,
-  coalesce(m.category_l2, '') AS category_l2, coalesce(gender, '') AS gender, coalesce(m.price, '') AS price, coalesce(image_url, '') AS image_url
-FROM (
-  SELECT r.request_id, r.user_id, c.item_id, v.code AS item_code, c.dot, round(1 / (1 + exp(-4 * c.dot)), 6) AS score,
-    row_number() OVER (PARTITION BY r.request_id ORDER BY round(1 / (1 + exp(-4 * c.dot)), 6) DESC, c.item_id) AS rank
-  FROM requests r JOIN (
-    SELECT k.* FROM (
-      SELECT q.item_id AS user_id, i.item_id, round(list_dot_product(q.embedding, i.embedding), 6) + 0.0 AS dot
-      FROM (SELECT * FROM emb SEMI JOIN requests ON emb.item_id = requests.user_id) q
-      CROSS JOIN (SELECT * FROM emb SEMI JOIN items USING (item_id)) i
-      QUALIFY row_number() OVER (PARTITION BY q.item_id ORDER BY round(list_dot_product(q.embedding, i.embedding), 6) DESC, i.item_id) <= {K_RETRIEVE}) k
-    ANTI JOIN ({seen_sql('touches', 'flushes')}) s ON k.user_id = s.user_id AND k.item_id = s.item_id) c USING (user_id)
-  LEFT JOIN (SELECT value, code FROM vocab WHERE col = 'item_id') v ON v.value = c.item_id
-  QUALIFY rank <= {K_RANK}) t
-LEFT JOIN item_metadata m ON t.item_id = m.item_id"""
+OWN_TOP_K = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 14 - 1 END"
+
+
+def recommend_sql(top_k: str = "NULL") -> str:
+    """Every request's list: own candidates in order, then popular items of the category and over all, unseen ones first."""
+    ranked = f"SELECT * FROM ({SCOPES_SQL}) QUALIFY row_number() OVER (PARTITION BY scope, scope_id ORDER BY n DESC, CAST(item_id AS VARCHAR) DESC) <= {2 * K_RANK}"
+    place = "row_number() OVER (PARTITION BY scope, scope_id ORDER BY n DESC, CAST(item_id AS VARCHAR) DESC)"
+    return f"""
+WITH seen_now AS MATERIALIZED ({seen_sql('touches', 'flushes')}),
+asked AS MATERIALIZED (
+  SELECT request_id, user_id, CASE WHEN t < 0 THEN greatest(0, {K_RANK} + t) ELSE least(coalesce(t, {K_RANK}), {K_RANK}) END AS len
+  FROM (SELECT event_id AS request_id, user_id, {top_k} AS t FROM ix WHERE event_type = 'view')),
+own AS MATERIALIZED (
+  SELECT k.* FROM (
+    SELECT q.item_id AS user_id, i.item_id, round(list_dot_product(q.embedding, i.embedding), 6) + 0.0 AS dot
+    FROM (SELECT * FROM emb WHERE item_id IN (SELECT user_id FROM requests)) q
+    CROSS JOIN (SELECT * FROM emb SEMI JOIN items USING (item_id)) i
+    QUALIFY row_number() OVER (PARTITION BY q.item_id ORDER BY round(list_dot_product(q.embedding, i.embedding), 6) DESC, i.item_id) <= {K_RETRIEVE}) k
+  ANTI JOIN seen_now s ON k.user_id = s.user_id AND k.item_id = s.item_id),
+category_of AS (
+  SELECT u.user_id, CASE WHEN f.age IS NULL OR f.gender IS NULL THEN -1 ELSE coalesce(c.top_category, -1) END AS top_category
+  FROM (SELECT DISTINCT user_id FROM asked) u LEFT JOIN ({latest('user_features', 'user_id', 'datetime DESC, created DESC')}) f USING (user_id)
+  LEFT JOIN top_cat c USING (user_id)),
+pool AS (
+  SELECT p.user_id, p.item_id, p.src, row_number() OVER (PARTITION BY p.user_id ORDER BY s.item_id IS NOT NULL, p.src, p.place) AS position FROM (
+    SELECT u.user_id, t.item_id, CASE t.scope WHEN 'cat_l1' THEN 0 ELSE 1 END AS src, t.place
+    FROM category_of u JOIN (SELECT *, {place} AS place FROM ({ranked})) t ON t.scope = 'global' OR (t.scope = 'cat_l1' AND t.scope_id = u.top_category)
+    ANTI JOIN own o ON u.user_id = o.user_id AND t.item_id = o.item_id
+    QUALIFY row_number() OVER (PARTITION BY u.user_id, t.item_id ORDER BY src) = 1) p
+  LEFT JOIN seen_now s ON p.user_id = s.user_id AND p.item_id = s.item_id),
+lists AS (
+  SELECT r.request_id, r.user_id, r.len, c.item_id, c.dot, round(1 / (1 + exp(-4 * c.dot)), 6) AS score,
+    row_number() OVER (PARTITION BY r.request_id ORDER BY round(1 / (1 + exp(-4 * c.dot)), 6) DESC, c.item_id) AS rank, 'ranked' AS source
+  FROM asked r JOIN own c USING (user_id) QUALIFY rank <= len
+  UNION ALL
+  SELECT r.request_id, r.user_id, r.len, p.item_id, NULL, NULL, coalesce(o.n, 0) + p.position AS rank, CASE src WHEN 0 THEN 'category' ELSE 'popular' END
+  FROM asked r JOIN pool p USING (user_id) LEFT JOIN (SELECT user_id, count(*) AS n FROM own GROUP BY 1) o USING (user_id) WHERE rank <= len)
+SELECT t.request_id, t.user_id, t.item_id, v.code AS item_code, t.dot, t.score, t.rank, t.source, coalesce(title, '') AS title,
+  coalesce(m.category_l1, '') AS category_l1, coalesce(m.category_l2, '') AS category_l2, coalesce(gender, '') AS gender,
+  coalesce(m.price, '') AS price, coalesce(image_url, '') AS image_url
+FROM lists t LEFT JOIN (SELECT value, code FROM vocab WHERE col = 'item_id') v ON v.value = t.item_id LEFT JOIN item_metadata m ON t.item_id = m.item_id"""
 
 
 def item_workflow(spark, sf) -> workflow.FittedWorkflow:
@@ -366,21 +402,28 @@ def item_workflow(spark, sf) -> workflow.FittedWorkflow:
     return workflow.fit([(ITEM, views.items(spark, sf))])
 
 
-def recommendations(spark, sf, model, scorer=None, default_age=36) -> DataFrame:
+def recommendations(spark, sf, model, scorer=None, default_age=36, asked=None) -> DataFrame:
     items = views.items(spark, sf)
     seen = active_seen(touches(spark, sf), views.AS_OF_US, DAY, flushes(spark, sf))
     return recommend(
-        requests(spark, sf), online_users(spark, sf), views.user_vectors(spark, sf).select("user_id", "qvec"), items,
+        asked or requests(spark, sf), online_users(spark, sf), views.user_vectors(spark, sf).select("user_id", "qvec"), items,
         views.emb(spark, sf).select("item_id", "embedding"), seen, model, views.item_metadata(spark, sf),
-        views.AS_OF_US // 1_000_000, scorer, K_RETRIEVE, K_RANK, default_age=default_age,
+        views.AS_OF_US // 1_000_000, scopes(spark, sf), scorer, K_RETRIEVE, K_RANK, default_age=default_age,
     )
 
 
-@query("recommend_batch", RECOMMEND_SQL)
+@query("recommend_batch", recommend_sql())
 def recommend_batch(spark, sf):
     return recommendations(spark, sf, item_workflow(spark, sf))
 
 
+@query("recommend_cold_start", f"SELECT request_id, user_id, item_id, rank, source FROM ({recommend_sql(OWN_TOP_K)})")
+def recommend_cold_start(spark, sf):
+    """Lists as long as each request asks, whether or not the user has a vector."""
+    asked = requests(spark, sf).withColumn("top_k", F.expr(OWN_TOP_K.replace("event_id", "request_id")).cast("int"))
+    return recommendations(spark, sf, item_workflow(spark, sf), asked=asked).select("request_id", "user_id", "item_id", "rank", "source")
+
+
 @query("recommend_ranked")
 def recommend_ranked(spark, sf):
     """The whole chain with the learned ranker instead of the vector product."""

@@ -11,6 +11,7 @@ from curlew.queries.registry import query
 from curlew.queries.sql_views import latest
 from curlew.session import scratch_path
 from curlew.sources import readers, sinks, views
+from curlew.sources.keyed import KeyedTable
 from curlew.streaming.streams import run_to_files
 
 TRAIN_DAYS, VALID_DAYS = 21, 9
@@ -129,11 +130,12 @@ def sink_dated_append(spark, sf):
 
 @query("sink_upsert_latest", f"SELECT user_id, item_id, ts_us, event_id FROM ({latest('ix', 'user_id', 'ts_us DESC, event_id DESC')})")
 def sink_upsert_latest(spark, sf):
-    rows = views.ix(spark, sf).select("user_id", "item_id", "ts_us", "event_id")
-    later = F.col("ts_us") >= views.ORIGIN_US + 15 * 86_400_000_000
-    first, second = scratch_path(spark, "online"), scratch_path(spark, "online")
-    sinks.upsert_table(spark, None, rows.where(later), ["user_id"], ["ts_us", "event_id"], first)
-    return sinks.upsert_table(spark, first, rows.where(~later), ["user_id"], ["ts_us", "event_id"], second)
+    rows = views.ix(spark, sf)
+    table = KeyedTable(spark, scratch_path(spark, "online"), ["user_id"], ["ts_us", "event_id"], buckets=8)
+    # the newest days are not the last to arrive
+    for batch, days in enumerate((F.col("day").between(10, 19), F.col("day") >= 20, F.col("day") < 10)):
+        table.upsert(rows.where(days).select("user_id", "item_id", "ts_us", "event_id"), batch)
+    return table.read()
 
 
 @query("sink_json_roundtrip", "SELECT * FROM item_metadata")

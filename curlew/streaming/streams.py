@@ -1,5 +1,5 @@
-"""Structured Streaming jobs. Each stores mergeable partial results per micro-batch, so a repeated batch replaces its own
-rows, and the state of a user is a small aggregate instead of a growing group."""
+"""Structured Streaming jobs. Behaviour per user is kept in a state store with timers and published to keyed tables that
+apply each micro-batch once; counts are stored per micro-batch, so that a repeated batch replaces its own rows."""
 
 from __future__ import annotations
 
@@ -9,23 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curlew.functions.times import DAY, date_of
-from curlew.operators.behavior import WEEK_TTL, last_sessions, last_touches, majority_category, seen_windows
-from curlew.operators.commands import flushes_of, parse_commands, parse_records, route, touches_of
-from curlew.operators.history import latest_per_key
-from curlew.session import path_exists
+from curlew.operators.behavior import WEEK_TTL, majority_category
+from curlew.operators.commands import parse_records, route
+from curlew.sources.keyed import KeyedTable
 from curlew.sources.sinks import write_batch
+from curlew.streaming.recent import STATE, changes, marks, state_store
 
+LATE = "1 hour"  # how much later than the newest one a command may arrive
 
-def run_batches(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Process everything available in micro-batches and stop."""
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(on_batch)
-        .trigger(availableNow=True)
-        .start()
-    )
+
+def run_batches(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> list[dict]:
+    """Process everything available in micro-batches and stop; the reports of the last of them."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(on_batch)
+    with state_store(stream.sparkSession):
+        query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
+    return query.recentProgress
 
 
 def run_to_files(stream: DataFrame, path: str, *partitions: str) -> DataFrame:
@@ -49,126 +48,93 @@ def route_commands(raw: DataFrame) -> DataFrame:
 
 
 class RecentItemsState:
-    """Recent and seen items per user, kept as three mergeable tables."""
-
-    def __init__(self, spark: SparkSession, path: str, ttl: int = WEEK_TTL):
-        self.spark, self.path, self.ttl = spark, path, ttl
-
-    def absorb(self, routed: DataFrame, batch_id: int) -> None:
-        touches = touches_of(routed)
-        day = date_of(F.col("ts_us")).alias("dt")
-        write_batch(last_touches(touches).select("*", day), f"{self.path}/touches", batch_id, "dt")
-        write_batch(seen_windows(touches, self.ttl), f"{self.path}/slots", batch_id)
-        # All flush times are kept, since a look back from a touch needs the last one before it.
-        flushes = flushes_of(routed).select("user_id", "ts_us").distinct()
-        write_batch(flushes.select("*", day), f"{self.path}/flushes", batch_id, "dt")
-
-    def _table(self, name: str, schema: str, since: int | None = None) -> DataFrame:
-        """Stored rows of all batches; ``since`` reads only the days from that time on."""
-        folder = f"{self.path}/{name}"
-        dated = "" if name == "slots" else ", dt date"
-        if not path_exists(self.spark, folder):
-            return self.spark.createDataFrame([], schema)
-        stored = self.spark.read.schema(f"{schema}{dated}, batch_id bigint").parquet(folder)
-        if since is not None:
-            stored = stored.where((F.col("dt") >= date_of(F.lit(since))) & (F.col("ts_us") >= since))
-        return stored.drop("dt", "batch_id")
-
-    def touches(self, since: int | None = None) -> DataFrame:
-        return last_touches(self._table("touches", "user_id bigint, item_id bigint, ts_us bigint", since))
+    """The published state of the users that are alive: a row per user, replaced whenever the user changes."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.table = KeyedTable(spark, path, ["user_id"], [])
+
+    def users(self) -> DataFrame:
+        stored = self.table.read()
+        return self.spark.createDataFrame([], STATE) if stored is None else stored
+
+    def touches(self) -> DataFrame:
+        return self.users().select("user_id", F.inline("items"))
 
     def slots(self) -> DataFrame:
-        stored = self._table("slots", "user_id bigint, slot bigint, first_us bigint, last_us bigint")
-        return stored.groupBy("user_id", "slot").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
-
-    def flushes(self, since: int | None = None) -> DataFrame:
-        return self._table("flushes", "user_id bigint, ts_us bigint", since)
-
-    def compact(self, path: str, as_of: int) -> RecentItemsState:
-        """Merge all batches into one at a new place, leaving out sets that have expired by ``as_of``."""
-        fresh = RecentItemsState(self.spark, path, self.ttl)
-        day = date_of(F.col("ts_us")).alias("dt")
-        live = last_sessions(self.slots(), self.ttl).where(F.col("end_us") > as_of - self.ttl).select("user_id", "start_us")
-        began = F.col("start_us") - F.pmod("start_us", F.lit(self.ttl))
-        touches = self.touches().join(live, "user_id").where(F.col("ts_us") >= F.col("start_us")).drop("start_us")
-        slots = self.slots().join(live, "user_id").where(F.col("slot") * self.ttl >= began).drop("start_us")
-        flushes = self.flushes().join(live, "user_id").where(F.col("ts_us") >= F.col("start_us")).drop("start_us")
-        write_batch(touches.select("*", day), f"{path}/touches", -1, "dt")
-        write_batch(slots, f"{path}/slots", -1)
-        write_batch(flushes.distinct().select("*", day), f"{path}/flushes", -1, "dt")
-        return fresh
-
-
-def live_categories(state: RecentItemsState, asked: DataFrame, items: DataFrame, window: int = DAY) -> DataFrame:
-    """Top category of the asked users ``(user_id, as_of)`` from their touches of the last ``window``.
-
-    Nothing older than the window of the earliest question counts, so only those days of the state are read.
-    """
-    earliest = asked.agg(F.min("as_of")).first()[0]
-    since = None if earliest is None else earliest - window
-    earlier = (
-        state.flushes(since)
-        .join(asked, "user_id")
-        .where(F.col("ts_us") < F.col("as_of"))
-        .groupBy("user_id")
-        .agg(F.max("ts_us").alias("flush_us"))
-    )
-    inside = F.col("ts_us").between(F.col("as_of") - window, F.col("as_of")) & (
-        F.col("flush_us").isNull() | (F.col("ts_us") > F.col("flush_us"))
-    )
-    touched = state.touches(since).join(asked, "user_id").join(earlier, "user_id", "left").where(inside)
-    return majority_category(touched.select("user_id", "item_id", "ts_us"), items).join(asked, "user_id")
+        return self.users().select("user_id", F.inline("slots"))
+
+    def flushes(self) -> DataFrame:
+        return self.users().select("user_id", F.explode("flushes").alias("ts_us"))
+
+
+def recent_items_state(raw: DataFrame, path: str, ttl: int = WEEK_TTL, late: str = LATE) -> RecentItemsState:
+    """Run the command stream into the published state. A user's set leaves it ``ttl`` after the last command."""
+    state = RecentItemsState(raw.sparkSession, f"{path}/state")
+    run_batches(changes(marks(raw), ttl, late), state.table.upsert, f"{path}/checkpoint", "update")
+    return state
+
+
+def live_categories(users: DataFrame, items: DataFrame, window: int = DAY) -> DataFrame:
+    """Top category of changed users at their newest touch: of the items touched in the ``window`` before it and after the
+    last flush before it."""
+    as_of = F.col("newest_us")
+    flushed = F.array_max(F.filter("flushes", lambda f: f < as_of))
+    asked = users.where("touched").select("user_id", as_of.alias("as_of"), flushed.alias("flush_us"), F.inline("items"))
+    inside = F.col("ts_us").between(F.col("as_of") - window, F.col("as_of")) & (F.col("flush_us").isNull() | (F.col("ts_us") > F.col("flush_us")))
+    recent = asked.where(inside)
+    # a user's newest touch is the same on all rows
+    times = recent.groupBy("user_id").agg(F.max("as_of").alias("as_of"))
+    return majority_category(recent.select("user_id", "item_id", "ts_us"), items).join(times, "user_id")
+
+
+def online_store(spark: SparkSession, path: str) -> KeyedTable:
+    """Latest feature row per user."""
+    return KeyedTable(spark, f"{path}/online", ["user_id"], ["datetime", "created"])
 
 
 def dual_sink(rows: DataFrame, batch_id: int, path: str) -> None:
     """Write one batch of feature rows to the online table and to the dated log."""
-    write_batch(rows, f"{path}/online", batch_id)
+    online_store(rows.sparkSession, path).upsert(rows, batch_id)
     dated = rows.withColumn("dt", date_of(F.col("datetime")).cast("string"))
     write_batch(dated, f"{path}/log", batch_id, "dt")
 
 
-def stream_top_category(raw: DataFrame, items: DataFrame, users: DataFrame, path: str, window: int = DAY) -> None:
-    """Keep the live top category current: each micro-batch updates the state, recomputes the users it touched and
-    writes both feature stores. A flush alone changes no feature."""
+FEATURES = "user_id bigint, age int, gender int, top_category int, datetime bigint, created bigint"
+
+
+def stream_top_category(raw: DataFrame, items: DataFrame, users: DataFrame, path: str, window: int = DAY, late: str = LATE) -> None:
+    """Keep the live top category current: each micro-batch updates the users it touched and writes both feature stores.
+
+    Age and gender come from the user's latest online row, which ``users`` fills before the first batch. A flush alone
+    changes no feature.
+    """
     spark = raw.sparkSession
-    state = RecentItemsState(spark, f"{path}/state")
+    state, online = RecentItemsState(spark, f"{path}/state"), online_store(spark, path)
+    loaded = users.select("user_id", "age", "gender")
+    for name in ("top_category int", "datetime bigint", "created bigint"):
+        loaded = loaded.withColumn(name.split()[0], F.lit(None).cast(name.split()[1]))
+    online.upsert(loaded, 0, writer="load")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        accepted, _ = parse_commands(batch)
-        routed = route(accepted).persist()
+        # the state's table holds what the batch is about, so the batch is computed once
+        applied = state.table.upsert(batch, batch_id)
+        changed = state.table.changed(applied).join(online.read().select("user_id", "age", "gender"), "user_id", "left")
+        changed = changed.persist()
         try:
-            state.absorb(routed, batch_id)
-            asked = touches_of(routed).groupBy("user_id").agg(F.max("ts_us").alias("as_of")).persist()
-            changed = live_categories(state, asked, items, window).join(users, "user_id", "left")
-            rows = changed.select(
-                "user_id", "age", "gender", "top_category", F.col("as_of").alias("datetime"), F.col("as_of").alias("created")
-            ).persist()
+            live = live_categories(changed, items, window).join(changed.select("user_id", "age", "gender"), "user_id")
+            rows = live.select("user_id", "age", "gender", "top_category", F.col("as_of").alias("datetime"), F.col("as_of").alias("created"))
             dual_sink(rows, batch_id, path)
-            rows.unpersist()
-            asked.unpersist()
         finally:
-            routed.unpersist()
+            changed.unpersist()
 
-    run_batches(raw, on_batch, f"{path}/checkpoint")
+    run_batches(changes(marks(raw), WEEK_TTL, late), on_batch, f"{path}/checkpoint", "update")
 
 
 def online_table(spark: SparkSession, path: str) -> DataFrame:
-    """Latest feature row per user."""
-    return latest_per_key(spark.read.parquet(f"{path}/online").drop("batch_id"), ["user_id"], ["datetime", "created"])
-
-
-def recent_items_state(raw: DataFrame, path: str, ttl: int = WEEK_TTL) -> RecentItemsState:
-    """Run the command stream into the recent-items state."""
-    state = RecentItemsState(raw.sparkSession, path, ttl)
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        accepted, _ = parse_commands(batch)
-        routed = route(accepted).persist()
-        state.absorb(routed, batch_id)
-        routed.unpersist()
-
-    run_batches(raw, on_batch, f"{path}/checkpoint")
-    return state
+    """Latest live feature row per user; users that were only loaded have none."""
+    stored = online_store(spark, path).read()
+    return spark.createDataFrame([], FEATURES) if stored is None else stored.where("datetime IS NOT NULL")
 
 
 def deduplicate(stream: DataFrame, key: str, delay: str) -> DataFrame:

@@ -30,14 +30,67 @@ def batch_commands(spark, sf):
     return route(parse_commands(views.commands(spark, sf))[0])
 
 
+def _pairs(rows):
+    return sorted(tuple(r) for r in rows.select("user_id", "item_id").collect())
+
+
 def test_recent_items_over_many_batches_equal_one_batch(spark, sf, arrivals):
     state = streams.recent_items_state(command_stream(spark, arrivals), scratch_path(spark, "recent"), DAY)
-    assert state.spark.read.parquet(f"{state.path}/touches").select("batch_id").distinct().count() == 6
+    # six files, and batches without data for timers
+    assert state.table.manifest().applied["main"] >= 5
     routed = batch_commands(spark, sf)
     expected = active_seen(touches_of(routed), views.AS_OF_US, DAY, flushes_of(routed))
-    for current in (state, state.compact(scratch_path(spark, "compact"), views.AS_OF_US)):
-        live = active_from_state(current.touches(), current.slots(), current.flushes(), views.AS_OF_US, DAY)
-        assert sorted(tuple(r) for r in live.select("user_id", "item_id").collect()) == sorted(tuple(r) for r in expected.collect())
+    live = active_from_state(state.touches(), state.slots(), state.flushes(), views.AS_OF_US, DAY)
+    assert _pairs(live) == _pairs(expected)
+
+
+def _commands(spark, folder, batch):
+    """(user, time, items or None for a flush) as a file of commands."""
+    rows = []
+    for n, (user, ts, marked) in enumerate(batch):
+        rest = '"flush": true' if marked is None else f'"mark_seen": {marked}'
+        rows.append((n, ts, f'{{"user_id": {user}, {rest}}}'))
+    spark.createDataFrame(rows, "event_id bigint, ts_us bigint, body string").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_state_expires_while_the_stream_runs(spark, monkeypatch):
+    """Many users who come once: the store holds those of the last TTL, and pauses, flushes and late commands act as in
+    the batch."""
+    folder, path, hour = scratch_path(spark, "in"), scratch_path(spark, "state"), 3_600_000_000
+    everything = []
+    for batch in range(12):
+        start = batch * 12 * hour
+        rows = [(100 + 10 * batch + i, start + i * hour, [i, i + 1]) for i in range(10)]
+        rows += [(1, start + hour, [batch]), (1, start, [batch, 77])]  # always there, out of order inside a file
+        if batch % 4 == 2:
+            rows.append((2, start, [batch, 5]))  # pauses of two days
+        if batch == 7:
+            rows.append((1, start - hour // 2, None))  # a flush that arrives late, but within the delay
+        everything += rows
+        _commands(spark, folder, rows)
+    reports = []
+    run = streams.run_batches
+    monkeypatch.setattr(streams, "run_batches", lambda *a, **k: reports.extend(run(*a, **k)))
+    raw = readers.stream_parquet(spark, folder, "*.parquet", 1)
+    state = streams.recent_items_state(raw, path, DAY)
+    kept = [r["stateOperators"][0]["numRowsTotal"] for r in reports if r["stateOperators"]]
+    assert len(kept) >= 12 and max(kept[4:]) <= max(kept[:6]) + 10, kept
+    users = {r.user_id for r in state.users().collect()}
+    last = max(ts + len(m or [1]) - 1 for _, ts, m in everything)
+    assert users <= {u for u, ts, _ in everything if ts > last - DAY - 2 * hour} and 1 in users
+    touches = spark.createDataFrame([(u, i, ts + n) for u, ts, m in everything if m is not None for n, i in enumerate(m)], "user_id bigint, item_id bigint, ts_us bigint")
+    flushes = spark.createDataFrame([(u, ts) for u, ts, m in everything if m is None], "user_id bigint, ts_us bigint")
+    live = active_from_state(state.touches(), state.slots(), state.flushes(), last, DAY)
+    assert _pairs(live) == _pairs(active_seen(touches, last, DAY, flushes))
+
+
+def test_a_very_active_user_sends_what_is_distinct(spark):
+    from curlew.streaming.recent import FLUSH, TOUCH, combined
+
+    rows = spark.range(30_000).selectExpr("1L AS user_id", "id % 5 AS item_id", "id AS ts_us", f"IF(id = 7, {FLUSH}, {TOUCH}) AS kind").coalesce(1)
+    sent = combined(rows, DAY).collect()
+    assert len(sent) <= 3 * 7 + 1 and (1, 0, 7, FLUSH) in {(r.user_id, r.item_id if r.kind != FLUSH else 0, r.ts_us, r.kind) for r in sent}
+    assert max(r.ts_us for r in sent) == 29_999 and min(r.ts_us for r in sent) == 0
 
 
 def test_live_category_over_many_batches_ends_like_one_batch(spark, sf, arrivals):
@@ -67,6 +120,25 @@ def test_a_flush_keeps_the_feature(spark, sf):
     assert streams.online_table(spark, path).first().top_category == 4
     state = streams.RecentItemsState(spark, f"{path}/state")
     assert active_from_state(state.touches(), state.slots(), state.flushes(), 30).isEmpty()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_age_and_gender_come_from_the_latest_online_row(spark):
+    folder, path = scratch_path(spark, "in"), scratch_path(spark, "live")
+    items = spark.createDataFrame([(1, 4)], "item_id bigint, category_l1 int")
+    users = spark.createDataFrame([(9, 30, 1), (8, 20, 0)], "user_id bigint, age int, gender int")
+    _commands(spark, folder, [(9, 10, [1]), (7, 11, [1])])
+    streams.stream_top_category(readers.stream_parquet(spark, folder, "*.parquet", 1), items, users, path)
+    newer = spark.createDataFrame([(9, 31, None, 4, 12, 12)], streams.FEATURES)
+    streams.online_store(spark, path).upsert(newer, 0, writer="profile")
+    _commands(spark, folder, [(9, 20, [1])])
+    streams.stream_top_category(readers.stream_parquet(spark, folder, "*.parquet", 1), items, users, path)
+    got = {r.user_id: (r.age, r.gender, r.top_category, r.datetime) for r in streams.online_table(spark, path).collect()}
+    assert got == {9: (31, None, 4, 20), 7: (None, None, 4, 11)}
+
+
+def test_online_table_before_the_first_batch(spark):
+    assert streams.online_table(spark, scratch_path(spark, "none")).count() == 0
 
 
 def test_a_repeated_batch_replaces_itself(spark):
@@ -75,7 +147,7 @@ def test_a_repeated_batch_replaces_itself(spark):
     for _ in range(2):
         streams.dual_sink(rows, 3, path)
     streams.dual_sink(rows.withColumn("datetime", F.lit(6 * DAY)), 4, path)
-    assert spark.read.parquet(f"{path}/online").count() == 2
+    assert streams.online_store(spark, path).read().count() == 1
     assert spark.read.parquet(f"{path}/log").count() == 2
     assert streams.online_table(spark, path).first().datetime == 6 * DAY
 
