@@ -1,6 +1,7 @@
 """Secret scan: candidates by form, false positives removed by a random forest.
 
-A candidate is a run of at least 12 letters, digits and the marks ``_ + / -`` with a letter and a digit. A forest judges it by its length, the
+A candidate is a run of at least 12 letters, digits and the marks ``_ + / -`` with a letter and a digit, or what is assigned to a telling
+name (``password=``, ``"token": "``), from 6 characters on and whatever they are. A forest judges it by its length, the
 transitions between kinds of characters, the share of it that words of the corpus cover, the path it may be part of, and the words next to
 it. The forest is trained on labelled findings. Where none are given, candidates that rules can tell label themselves: keys of a known
 form and values assigned to a telling name are secrets; identifiers, dates and candidates made of words are not. Secrets, identifiers and
@@ -22,10 +23,14 @@ from curlew.llm.personal import matches
 from curlew.llm.registry import query, table
 from curlew.session import store
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{12,}+={0,2}"
+_NAME = r"(?:pass(?:word|wd)?|pwd|token|secret|api[_-]?key|access[_-]?key|auth|credential)"
+#: The value stands close behind its name; one in a query string ends where the next parameter begins.
+ASSIGNED = rf"(?<=[=:\s\"'])(?<=(?i:{_NAME})[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?)(?:[^\s\"'<>,;&=:.!?)]|(?<=[^\s\"'])[=:]|[.!?)](?=[^\s\"'<>,;])|&(?![A-Za-z0-9_]++=)){{6,}}+"
+BY_FORM = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{12,}+={0,2}"
+CANDIDATE = f"{ASSIGNED}|{BY_FORM}"
 #: Forms of keys with a published prefix.
 KNOWN_FORMS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})$"
-TELLING_NAME = r"(?i)(pass(word|wd)?|pwd|token|secret|api[_-]?key|access[_-]?key|auth|credential)[\"']?\s*[=:]\s*[\"']?$"
+TELLING_NAME = rf"(?i){_NAME}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?$"
 IDENTIFIER = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}.*|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9]+[a-z]{1,3}|[a-z]+[0-9]{1,4})$"
 LABELLED = 20_000  # distinct findings that train the forest, drawn by a digest, up to half of them of each class
 CONTEXTS = 8  # of one value that may train
@@ -39,7 +44,7 @@ NUMBERS = ["length", "covered", "vowels", "distinct", "slashes", "in_path", "ass
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """(row_key, start, end, value, before, after) of each candidate; before and after are up to 60 code points of text."""
+    """(row_key, n, start, end, value, before, after) of each candidate, the ``n``-th of its text from 0; before and after are up to 60 code points of text."""
     text = F.col("text")
     between = F.split(text, CANDIDATE, -1)
     found = matches(text, CANDIDATE)
@@ -49,6 +54,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
     rows = rows.select("row_key", F.posexplode("found").alias("n", "c"), "sides")
     return rows.select(
         "row_key",
+        "n",
         "c.start",
         "c.end",
         "c.value",
@@ -104,8 +110,9 @@ def _described(candidates: DataFrame) -> DataFrame:
 def certain_label() -> Column:
     """1 or 0 where a rule decides by itself, else null."""
     value = F.col("value")
-    secret = value.rlike(KNOWN_FORMS) | (F.col("before").rlike(TELLING_NAME) & (F.col("covered") < 0.5))
-    return F.when(secret, 1.0).when(value.rlike(IDENTIFIER), 0.0)
+    named = F.col("before").rlike(TELLING_NAME)
+    secret = value.rlike(KNOWN_FORMS) | (named & (F.col("covered") < 0.5))
+    return F.when(secret, 1.0).when(value.rlike(IDENTIFIER) & ~named, 0.0)
 
 
 def self_label() -> Column:
@@ -135,7 +142,7 @@ def _training(known: DataFrame, labelled: int) -> tuple[DataFrame, list[float]]:
 
 def find_secrets(docs: DataFrame, findings: DataFrame | None = None, cut: float = CUT, labelled: int = LABELLED) -> DataFrame:
     """For each document: ``row`` (the input row), secrets (array of start, end, value, score, in code points) and redacted (the text
-    with each secret's value replaced).
+    with each secret replaced at its place).
 
     ``docs`` has doc_id and text. ``findings`` has value and is_secret (1 or 0) and trains the forest instead of the rules. Of each class
     at most about half of ``labelled`` distinct findings (value and context) train it, all if there are fewer; all candidates are judged,
@@ -164,15 +171,20 @@ def find_secrets(docs: DataFrame, findings: DataFrame | None = None, cut: float
         judged = rows.withColumn("score", F.lit(float(labels[0])))
     else:
         judged = rows.withColumn("score", F.coalesce("label", F.lit(0.0)))
-    secrets = judged.filter(F.col("score") >= cut).groupBy("row_key")
-    secrets = secrets.agg(F.array_sort(F.collect_set(F.struct("start", "end", "value", "score"))).alias("secrets"))
-    joined = keyed.join(store(secrets, "secrets"), "row_key", "left")
+    # all candidates of the rows that hold a secret, by their number in the text
+    judged = judged.select("row_key", F.struct("n", "start", "end", "value", "score").alias("found"))
+    found = judged.groupBy("row_key").agg(F.array_sort(F.collect_set("found")).alias("found")).filter(F.exists("found", lambda c: c["score"] >= cut))
+    joined = keyed.join(store(found, "secrets"), "row_key", "left")
+    kept = F.transform(F.filter("found", lambda c: c["score"] >= cut), lambda c: F.struct(c["start"], c["end"], c["value"], c["score"]))
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,score:double>>")
-    mask = F.aggregate(
-        F.array_distinct(F.transform("secrets", lambda s: s["value"])), F.col("row.text"), lambda text, value: F.replace(text, value, F.lit(MASK))
-    )
+    # the text between the candidates and each candidate or the mask, place by place: what stands elsewhere stays as it is
+    between = F.split("row.text", CANDIDATE, -1)
+    masked = F.transform("found", lambda c: F.when(c["score"] >= cut, F.lit(MASK)).otherwise(c["value"]))
+    pieces = F.transform(between, lambda text, i: F.concat(text, F.coalesce(F.get(masked, i), F.lit(""))))
     return joined.select(
-        "row", F.coalesce("secrets", none).alias("secrets"), F.when(F.col("secrets").isNull(), F.col("row.text")).otherwise(mask).alias("redacted")
+        "row",
+        F.when(F.col("found").isNull(), none).otherwise(kept).alias("secrets"),
+        F.when(F.col("found").isNull(), F.col("row.text")).otherwise(F.array_join(pieces, "")).alias("redacted"),
     )
 
 
