@@ -128,8 +128,18 @@ def _text_hits(docs: DataFrame, occurs: np.ndarray, window: int, run: int, lengt
     return docs.mapInArrow(find, "text_key bigint, fp bigint, pos int")
 
 
+def _window_spans(words: list[bytes], item: list[bytes], window: int) -> list[tuple[int, int]]:
+    """The spans of all windows of the item, each compared as a whole: as much work as there are words."""
+    size = min(window, len(item))
+    windows = {tuple(item[i : i + size]) for i in range(len(item) - size + 1)}
+    return [(i, i + size) for i in range(len(words) - size + 1) if tuple(words[i : i + size]) in windows] if size else []
+
+
 def _spans(words: list[bytes], item: list[bytes], hits: list[dict], window: int) -> list[tuple[int, int]]:
-    """Longest common spans through the hits that hold a window of the item."""
+    """Longest common spans through the hits that hold a window of the item. A hit without a place in the item is of a run that the item
+    repeats."""
+    if any(hit["at"] is None for hit in hits):
+        return _window_spans(words, item, window)
     found: dict[int, list[tuple[int, int]]] = {}
     need = min(window, len(item))
     for hit in sorted(hits, key=lambda h: h["pos"]):
@@ -149,7 +159,7 @@ def _spans(words: list[bytes], item: list[bytes], hits: list[dict], window: int)
 
 
 RESULT = (
-    "n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>, contaminated boolean"
+    "n_words bigint, n_hit bigint, n_items bigint, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>, contaminated boolean"
 )
 
 
@@ -157,13 +167,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, run:
     """For each document: ``row`` (the input row), its words, the words inside any window of an item, the items, the merged spans.
 
     ``items`` has item_id and text, ``docs`` a text. A document is ``contaminated`` when it has hit words and they are at least one
-    in ``share``. A null text has no words; items without id or words are no items; repeated item ids count once; an empty benchmark
-    or document table gives no hits or no rows. Other columns are kept in ``row`` and never looked at."""
-    listed = items.filter("item_id IS NOT NULL").select(
+    in ``share``. A null text has no words; items without words are no items; repeated item ids count once, null ids among them, which
+    ``n_items`` counts and ``item_ids`` leaves out; an empty benchmark or document table gives no hits or no rows. Other columns are kept in ``row`` and never looked at."""
+    listed = items.select(
         F.xxhash64(F.col("item_id").cast("string"), "text").alias("item"), F.col("item_id").cast("string").alias("item_id"), "text"
     )
     listed = store(listed.dropDuplicates(["item"]), "items")
-    prints = store(_item_fingerprints(listed.select("item", "text"), window, run).distinct(), "item-prints")
+    prints = _item_fingerprints(listed.select("item", "text"), window, run)
+    # a run that an item repeats goes once and without its place: places of a text times places of the item would be too many
+    at = F.when(F.count_distinct("at") == 1, F.min("at")).alias("at")
+    prints = store(prints.groupBy("item", "fp", "size").agg(at), "item-prints")
     lengths = [r.size for r in prints.filter(F.col("size") < window).select("size").distinct().collect()]
     keyed = docs.select(F.struct("*").alias("row")).withColumn("text_key", F.xxhash64("row.text"))
     hits = _text_hits(keyed.select("text_key", F.col("row.text").alias("text")), _bit_map(prints), window, run, sorted(lengths))
@@ -181,7 +194,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, run:
     def verify(batches):
         for batch in batches:
             rows = batch.column("row")
-            counts, hit_counts, ids, spans, dirty = [], [], [], [], []
+            counts, hit_counts, n_items, ids, spans, dirty = [], [], [], [], [], []
             for text, matched in zip(texts(batch), batch.column("matches").to_pylist(), strict=True):
                 words, found, merged = plain_words(text), set(), []
                 for match in matched or ():
@@ -198,7 +211,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, run:
                 n_hit = sum(end - start for start, end in union)
                 counts.append(len(words))
                 hit_counts.append(n_hit)
-                ids.append(sorted(found))
+                n_items.append(len(found))
+                ids.append(sorted(found - {None}))
                 spans.append([{"start": s, "end": e} for s, e in union])
                 dirty.append(n_hit > 0 and share * n_hit >= len(words))
             yield pa.RecordBatch.from_arrays(
@@ -206,11 +220,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, run:
                     rows,
                     pa.array(counts, pa.int64()),
                     pa.array(hit_counts, pa.int64()),
+                    pa.array(n_items, pa.int64()),
                     pa.array(ids, pa.list_(pa.string())),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array(dirty, pa.bool_()),
                 ],
-                names=["row", "n_words", "n_hit", "item_ids", "spans", "contaminated"],
+                names=["row", "n_words", "n_hit", "n_items", "item_ids", "spans", "contaminated"],
             )
 
     return joined.mapInArrow(verify, f"row {row_type}, {RESULT}")
@@ -248,7 +263,7 @@ def op5_decontaminate(spark, sf):
         "row.doc_id",
         "n_words",
         "n_hit",
-        F.size("item_ids").cast("bigint").alias("n_items"),
+        "n_items",
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         "contaminated",
     )
