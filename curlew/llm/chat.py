@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curlew.llm.registry import query, table
@@ -94,12 +94,22 @@ def trace(roles: np.ndarray, first: int, last: int) -> list[tuple[int, str]]:
     return out[::-1]
 
 
+def escaped(text: Column) -> Column:
+    """Text without any ``<|``, which marks begin with: one more backslash stands inside each, so ``plain`` gives the text back."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def plain(text: Column) -> Column:
+    """The text of a turn as it was before ``escaped``."""
+    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
+
+
 def _numbered(turns: DataFrame) -> DataFrame:
     """Turns with their place in the conversation, 0 up, and their role's number."""
     role = F.lower(F.trim(F.coalesce("role", F.lit(""))))
     known = F.create_map(*[F.lit(x) for pair in (ALIASES | {r: r for r in ROLES}).items() for x in pair])
     number = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.coalesce(known[role], F.lit("")))
-    plain = turns.select("conv_id", "turn", number.cast("int").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = turns.select("conv_id", "turn", number.cast("int").alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"))
     return plain.filter(F.col("conv_id").isNotNull())
 
 
@@ -206,7 +216,8 @@ def repair(turns: DataFrame, piece: int = PIECE) -> DataFrame:
 
     ``turns`` has conv_id, turn (a whole number), role and text. Turns are read by number, null last, then role and text, so repeated rows are
     turns in a row. Roles are compared without case and blanks, by their other names too; any other role, or null, fits none and is
-    relabelled. A null text is empty. Rows with a null conv_id belong to no conversation and are left out. Other columns are not
+    relabelled. A null text is empty. ``<|`` in a text is written ``<\\|``, with one more backslash for those that stand there already, so
+    that no text can pass for a mark. Rows with a null conv_id belong to no conversation and are left out. Other columns are not
     looked at; an empty table gives no rows. A text is one value, so it must stay below 2 GB; longer ones are in ``rendered_pieces``. Costs:
     MERGE, RELABEL and INSERT; of equal ways the first in the order of moves."""
     whole = rendered_pieces(turns, piece).groupBy("conv_id").agg(
