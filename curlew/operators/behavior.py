@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curlew.functions.hashing import hash32
 from curlew.functions.times import DAY, whole
 
 WEEK_TTL = 7 * DAY
@@ -117,6 +122,60 @@ def filter_seen_bitmap(candidates: DataFrame, bitmaps: DataFrame | None) -> Data
     return flagged.select(*candidates.columns)
 
 
+@dataclass(frozen=True)
+class BloomSize:
+    """Size of the filters for about ``items`` per user and a share of at most ``error`` wrongly taken for seen."""
+
+    items: int
+    error: float
+
+    @property
+    def bits(self) -> int:
+        return 64 * math.ceil(-self.items * math.log(self.error) / math.log(2) ** 2 / 64)
+
+    @property
+    def probes(self) -> int:
+        return max(1, round(self.bits / self.items * math.log(2)))
+
+    def places(self, item: str) -> Column:
+        """The bits of an item, as an array."""
+        first, step = hash32(item, seed="bloom-a"), hash32(item, seed="bloom-b").bitwiseOR(F.lit(1))
+        return F.transform(F.sequence(F.lit(0), F.lit(self.probes - 1)), lambda i: F.pmod(first + i * step, F.lit(self.bits)))
+
+
+def seen_blooms(seen: DataFrame, size: BloomSize) -> DataFrame:
+    """A Bloom filter per user: ``bloom``, ``bits / 64`` whole numbers, however many items the user has seen.
+
+    Bits are gathered by word in each task first, so a user with very many items sends that many words per task. Filters of one size
+    merge with ``merge_blooms``.
+    """
+    placed = seen.where(F.col("item_id").isNotNull()).select("user_id", F.explode(size.places("item_id")).alias("bit"))
+    mask = F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")
+    words = placed.groupBy("user_id", F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(mask).alias("mask"))
+    held = words.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("held"))
+    every = F.sequence(F.lit(0), F.lit(size.bits // 64 - 1))
+    return held.select("user_id", F.transform(every, lambda w: F.coalesce(F.element_at("held", w), F.lit(0).cast("bigint"))).alias("bloom"))
+
+
+def merge_blooms(*parts: DataFrame) -> DataFrame:
+    """One filter per user that has the bits of all, as after seeing what each part has seen."""
+    words = reduce(DataFrame.unionByName, parts).select("user_id", F.posexplode("bloom").alias("word", "mask"))
+    merged = words.groupBy("user_id", "word").agg(F.bit_or("mask").alias("mask"))
+    return merged.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("held")).select(
+        "user_id", F.col("held.mask").alias("bloom")
+    )
+
+
+def filter_seen_bloom(candidates: DataFrame, blooms: DataFrame | None, size: BloomSize) -> DataFrame:
+    """Candidates that the user's filter does not hold: none that was seen, and all others but a few."""
+    if blooms is None:
+        return candidates
+    bit_set = lambda b: F.expr("bloom")[F.floor(b / 64).cast("int")].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), (b % 64).cast("int"))) != 0
+    held = F.forall(size.places("item_id"), bit_set)
+    joined = candidates.join(blooms, "user_id", "left")
+    return joined.where(F.col("bloom").isNull() | F.col("item_id").isNull() | ~held).select(*candidates.columns)
+
+
 def seen_flag(rows: DataFrame, seen: DataFrame) -> DataFrame:
     """Mark each (user, item) row as already seen or not."""
     known = seen.select("user_id", "item_id").distinct().withColumn("_known", F.lit(True))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, LogisticRegression
-from pyspark.ml.feature import FeatureHasher, Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from curlew.session import store
 
 ALPHA, REGULARIZATION = 10.0, 0.1
 FOLD_ROWS = 2048
+FOLD_FAN = 64
 
 
 def fit_retrieval(interactions: DataFrame, rank: int = 64, seed: int = 42, iterations: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -34,50 +37,77 @@ def fit_retrieval(interactions: DataFrame, rank: int = 64, seed: int = 42, itera
     )
 
 
-def fold_in_users(item_vectors: DataFrame, interactions: DataFrame, alpha: float = ALPHA, reg: float = REGULARIZATION) -> DataFrame:
+def fold_in_users(item_vectors: DataFrame, interactions: DataFrame, alpha: float = ALPHA, reg: float = REGULARIZATION,
+                  fold_rows: int | None = None) -> DataFrame:
     """New user vectors against frozen item vectors: one regularised least-squares solve per user.
 
-    Each user's equations are sums over items. They are added up over parts of bounded size (a user with very many
-    items is cut into several parts), and only the sums of the parts meet again.
+    A user of up to ``fold_rows`` (``FOLD_ROWS``) items is solved where the items meet. The equations of one with more are made in parts; their upper
+    triangles are added up in a tree, ``FOLD_FAN`` at a time, so no row holds more of them, however many items the user has.
     """
+    fold_rows = fold_rows or FOLD_ROWS
     dim = len(item_vectors.select("embedding").first()[0])
     gram = _gram(item_vectors, dim)
-    pairs = group_counts(interactions, "user_id", "item_id")
-    per_user = group_counts(pairs, "user_id").withColumnRenamed("n", "n_items")
-    part = F.pmod(F.xxhash64("item_id"), F.ceil(F.col("n_items") / FOLD_ROWS))
+    upper = np.triu_indices(dim)
+    # a user's items without a vector count for neither the parts nor the equations
+    pairs = group_counts(interactions, "user_id", "item_id").join(item_vectors, "item_id")
+    per_user = group_counts(interactions.select("user_id", "item_id").distinct().join(item_vectors.select("item_id"), "item_id"), "user_id")
+    per_user = per_user.select("user_id", F.ceil(F.col("n") / fold_rows).alias("n_parts"))
+    part = F.pmod(F.xxhash64("item_id"), F.col("n_parts"))
     members = F.collect_list(F.struct("n", "embedding")).alias("members")
     parts = (
-        pairs.join(item_vectors, "item_id")
-        .join(per_user, "user_id")
-        .groupBy("user_id", part.alias("part"))
+        pairs.join(per_user, "user_id")
+        .groupBy("user_id", "n_parts", part.alias("part"))
         .agg(members)
-        .select("user_id", F.col("members.n").alias("counts"), F.flatten("members.embedding").alias("vectors"))
+        .select("user_id", "n_parts", "part", F.col("members.n").alias("counts"), F.flatten("members.embedding").alias("vectors"))
     )
 
+    def solved(packed: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+        left = np.zeros((dim, dim))
+        left[upper] = packed
+        equations = gram + left + np.triu(left, 1).T + reg * float(n) * np.eye(dim)
+        return np.linalg.solve(equations, right).astype(np.float32)
+
     def add_up(batches):
         for batch in batches:
-            lhs, rhs, n = [], [], []
-            for counts, flat in zip(batch.counts, batch.vectors):
+            rows = []
+            for user, n_parts, number, counts, flat in zip(batch.user_id, batch.n_parts, batch.part, batch.counts, batch.vectors, strict=True):
                 vectors = np.asarray(flat, dtype=np.float64).reshape(len(counts), dim)
                 weight = alpha * np.asarray(counts, dtype=np.float64)
-                lhs.append(((vectors * weight[:, None]).T @ vectors).ravel())
-                rhs.append((1.0 + weight) @ vectors)
-                n.append(len(counts))
-            yield pd.DataFrame({"user_id": batch.user_id, "lhs": lhs, "rhs": rhs, "n": n})
+                packed, right = ((vectors * weight[:, None]).T @ vectors)[upper], (1.0 + weight) @ vectors
+                if n_parts == 1:
+                    rows.append((user, 0, solved(packed, right, len(counts)), None, len(counts)))
+                else:
+                    rows.append((user, number, None, np.concatenate([packed, right]), len(counts)))
+            yield pd.DataFrame(rows, columns=["user_id", "part", "qvec", "sums", "n"])
 
     def solve(batches):
         for batch in batches:
-            out = []
-            for left, right, n in zip(batch.lhs, batch.rhs, batch.n):
-                equations = gram + np.sum(np.stack(left), axis=0).reshape(dim, dim) + reg * float(n) * np.eye(dim)
-                out.append(np.linalg.solve(equations, np.sum(np.stack(right), axis=0)).astype(np.float32))
-            yield pd.DataFrame({"user_id": batch.user_id, "qvec": out})
-
-    sums = parts.mapInPandas(add_up, "user_id bigint, lhs array<double>, rhs array<double>, n bigint")
-    per_part = sums.groupBy("user_id").agg(
-        F.collect_list("lhs").alias("lhs"), F.collect_list("rhs").alias("rhs"), F.sum("n").alias("n")
-    )
-    return per_part.mapInPandas(solve, "user_id bigint, qvec array<float>")
+            qvec = [solved(np.asarray(s)[: len(upper[0])], np.asarray(s)[len(upper[0]) :], n) for s, n in zip(batch.sums, batch.n, strict=True)]
+            yield pd.DataFrame({"user_id": batch.user_id, "qvec": qvec})
+
+    made = store(parts.mapInPandas(add_up, "user_id bigint, part bigint, qvec array<float>, sums array<double>, n bigint"), "equations")
+    split = made.where("qvec IS NULL").select("user_id", "part", "sums", "n")
+    solved_whole = made.where("qvec IS NOT NULL").select("user_id", "qvec")
+    if split.isEmpty():
+        return solved_whole
+    return solved_whole.unionByName(_tree(split).mapInPandas(solve, "user_id bigint, qvec array<float>"))
+
+
+def _tree(split: DataFrame) -> DataFrame:
+    """(user_id, sums, n) of the rows (user_id, part, sums, n), added up ``FOLD_FAN`` parts at a time."""
+
+    def add(batches):
+        for batch in batches:
+            sums = [np.sum(np.stack([np.asarray(s) for s in own]), axis=0) for own in batch.sums]
+            yield pd.DataFrame({"user_id": batch.user_id, "part": batch.part, "sums": sums, "n": batch.n})
+
+    while split.agg(F.max("part")).first()[0] > 0:
+        level = split.groupBy("user_id", F.floor(F.col("part") / FOLD_FAN).alias("part"))
+        # in the order of the parts, so that a repeated task adds up alike
+        own = F.transform(F.array_sort(F.collect_list(F.struct("part", "sums"))), lambda x: x["sums"])
+        split = level.agg(own.alias("sums"), F.sum("n").alias("n")).mapInPandas(add, "user_id bigint, part bigint, sums array<double>, n bigint")
+        split = store(split, "equations")
+    return split.select("user_id", "sums", "n")
 
 
 def _gram(item_vectors: DataFrame, dim: int) -> np.ndarray:
@@ -99,28 +129,44 @@ def _gram(item_vectors: DataFrame, dim: int) -> np.ndarray:
 
 
 def fit_ranker(rows: DataFrame, categorical: list[str], continuous: list[str], label: str = "label", kind: str = "fm",
-               buckets: int = 4096, seed: int = 42) -> PipelineModel:
-    """Click model on encoded features: categories are hashed to a fixed width, numbers scaled, and
-    unknown numbers take the training mean."""
+               buckets: int | None = None, seed: int = 42, vectors: tuple[str, ...] = ()) -> PipelineModel:
+    """Click model on encoded features: a place for every code of each category (codes that training lacks share one),
+    scaled numbers with the training mean for unknown ones, and the components of the ``vectors`` columns (arrays).
+
+    The factorisation machine weighs all pairs of these: codes with codes, codes with vector components, and components of two vectors,
+    which makes their dot product one of its terms. Its size follows the fitted vocabulary; ``buckets`` hashes the codes to a set
+    width instead.
+    """
     # Each pass of the optimiser reads the rows again, so they are stored first.
-    rows = store(rows.select(label, *categorical, *continuous), "training")
+    rows = _dense(store(rows.select(label, *categorical, *continuous, *vectors), "training"), vectors)
     known = [f"{c}_known" for c in continuous]
     imputed = Imputer(inputCols=continuous, outputCols=known)
     numbers = VectorAssembler(inputCols=known, outputCol="numbers")
-    hashed = FeatureHasher(inputCols=categorical, categoricalCols=categorical, numFeatures=buckets, outputCol="hashed")
+    if buckets is None:
+        codes = [f"{c}_code" for c in categorical]
+        coded = OneHotEncoder(inputCols=categorical, outputCols=codes, handleInvalid="keep", dropLast=False)
+    else:
+        codes = ["hashed"]
+        coded = FeatureHasher(inputCols=categorical, categoricalCols=categorical, numFeatures=buckets, outputCol="hashed")
     scaled = StandardScaler(inputCol="numbers", outputCol="scaled")
-    joined = VectorAssembler(inputCols=["hashed", "scaled"], outputCol="features")
+    joined = VectorAssembler(inputCols=[*codes, "scaled", *[f"{c}{_DENSE}" for c in vectors]], outputCol="features")
     if kind == "fm":
         model = FMClassifier(labelCol=label, factorSize=8, maxIter=15, stepSize=0.05, seed=seed)
     else:
         model = LogisticRegression(labelCol=label, maxIter=20, regParam=0.01)
-    return Pipeline(stages=[imputed, numbers, hashed, scaled, joined, model]).fit(rows)
+    return Pipeline(stages=[imputed, numbers, coded, scaled, joined, model]).fit(rows)
+
+
+_DENSE = "_dense"
+
+
+def _dense(rows: DataFrame, columns: Iterable[str]) -> DataFrame:
+    return rows.withColumns({f"{c}{_DENSE}": array_to_vector(F.col(c).cast("array<double>")) for c in columns})
 
 
 def predict(model: PipelineModel, rows: DataFrame, score: str = "score") -> DataFrame:
     """Probability of a click for every row."""
     columns = rows.columns
-    scored = model.transform(rows)
+    inputs = [c for stage in model.stages if isinstance(stage, VectorAssembler) for c in stage.getInputCols()]
+    scored = model.transform(_dense(rows, [c.removesuffix(_DENSE) for c in inputs if c.endswith(_DENSE)]))
     return scored.select(*columns, F.round(F.get(vector_to_array("probability"), F.lit(1)), 6).alias(score))
-
-

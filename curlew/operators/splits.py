@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from curlew.functions.hashing import hash32, uniform
 from curlew.functions.scalars import OOV
 from curlew.operators.rowindex import with_row_index
+from curlew.operators.selection import cut_at
+from curlew.sources.readers import partition_values
 
 
 def split_by_day(df: DataFrame, train_days: int, valid_days: int, day: str = "day") -> DataFrame:
@@ -19,10 +21,23 @@ def split_by_day(df: DataFrame, train_days: int, valid_days: int, day: str = "da
 
 
 def split_fraction(df: DataFrame, order_by: list[str], frac: float = 0.7) -> DataFrame:
-    """Positional split: the first ``int(frac * n)`` rows in the given order are train, the rest valid."""
-    indexed = with_row_index(df, [F.col(c) for c in order_by], "_position", total="_rows")
-    is_train = F.col("_position") < F.floor(F.lit(float(frac)) * F.col("_rows"))
-    return indexed.withColumn("split", F.when(is_train, "train").otherwise("valid")).drop("_position", "_rows")
+    """Positional split: the first ``int(frac * n)`` rows in the given order are train, the rest valid.
+
+    Only the values at the cut are looked for, so rows are labelled where they lie. Rows that tie with the cut are told apart
+    by a hash of all their columns.
+    """
+    n_train = int(float(frac) * df.count())
+    if n_train == 0:
+        return df.withColumn("split", F.lit("valid"))
+    last = cut_at(df, order_by, n_train - 1)
+    taken = last.equal_before + 1
+    label = F.when(last.before(), "train").otherwise("valid")
+    ties = df.where(last.at())
+    if ties.count() == taken:
+        return df.withColumn("split", F.when(last.before() | last.at(), "train").otherwise("valid"))
+    placed = with_row_index(ties, [F.xxhash64(*ties.columns)], "_position")
+    split = F.when(F.col("_position") < taken, "train").otherwise("valid")
+    return df.where(~last.at()).withColumn("split", label).unionByName(placed.withColumn("split", split).drop("_position"))
 
 
 def concat_days(*days: DataFrame) -> DataFrame:
@@ -61,6 +76,22 @@ def replay(new_train: DataFrame, history: DataFrame, n_days: int = 2, seed: int
     """New training rows, every validation row of the history and a few sampled training days."""
     old_valid = history.where(F.col("split") == "valid")
     old_train = sample_days(history.where(F.col("split") == "train"), n_days, seed)
+    return _replayed(new_train, old_valid, old_train)
+
+
+def replay_stored(new_train: DataFrame, path: str, n_days: int = 2, seed: int = 42) -> DataFrame:
+    """``replay`` from a history stored by split and day: the days are known from its folders, and only the folders of the
+    validation rows and of the sampled days are read."""
+    spark = new_train.sparkSession
+    days = [int(d) for d in partition_values(spark, f"{path}/split=train", "day")]
+    listed = spark.createDataFrame([(d,) for d in days], "day int")
+    chosen = [r.day for r in listed.orderBy(hash32("day", seed=seed), "day").limit(n_days).collect()]
+    history = spark.read.parquet(path)
+    old_train = history.where((F.col("split") == "train") & F.col("day").isin(chosen))
+    return _replayed(new_train, history.where(F.col("split") == "valid"), old_train)
+
+
+def _replayed(new_train: DataFrame, old_valid: DataFrame, old_train: DataFrame) -> DataFrame:
     parts = [
         new_train.withColumn("origin", F.lit("new")),
         old_valid.withColumn("origin", F.lit("old_valid")),

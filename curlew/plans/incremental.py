@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curlew.functions.scalars import fill_category
 from curlew.operators.history import features_at, latest_updates, override
-from curlew.operators.splits import clicked, replay, split_fraction
+from curlew.operators.splits import clicked, replay, replay_stored, split_fraction
 from curlew.operators.workflow import FittedWorkflow
 
 SPLIT_ORDER = ["day", "timestamp", "user_id", "item_id"]
@@ -27,17 +27,19 @@ def merge_new_days(new: DataFrame, user_history: DataFrame, item_history: DataFr
 
 
 def replay_sets(new: DataFrame, user_history: DataFrame, item_history: DataFrame, updates: DataFrame | None,
-                history: DataFrame, as_of: int, as_of_date: str, frac: float = 0.7, n_days: int = 2,
+                history: DataFrame | str, as_of: int, as_of_date: str, frac: float = 0.7, n_days: int = 2,
                 seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Replay training rows and validation rows of the new days, not yet encoded."""
-    merged = merge_new_days(new, user_history, item_history, updates, as_of, as_of_date)
-    split = split_fraction(merged, SPLIT_ORDER, frac)
-    train = replay(split.where(F.col("split") == "train"), history, n_days, seed)
+    """Replay training rows and validation rows of the new days, not yet encoded. ``history``: rows, or the path of rows
+    stored by split and day."""
+    # the cut needs only the new rows themselves
+    split = merge_new_days(split_fraction(new, SPLIT_ORDER, frac), user_history, item_history, updates, as_of, as_of_date)
+    again = replay_stored if isinstance(history, str) else replay
+    train = again(split.where(F.col("split") == "train"), history, n_days, seed)
     return train, split.where(F.col("split") == "valid")
 
 
 def incremental(new: DataFrame, user_history: DataFrame, item_history: DataFrame, updates: DataFrame | None,
-                history: DataFrame, workflow: FittedWorkflow, as_of: int, as_of_date: str, frac: float = 0.7,
+                history: DataFrame | str, workflow: FittedWorkflow, as_of: int, as_of_date: str, frac: float = 0.7,
                 n_days: int = 2, seed: int = 42, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Processed replay training set and validation set of the new days, under the already fitted workflow."""
     train, valid = replay_sets(new, user_history, item_history, updates, history, as_of, as_of_date, frac, n_days, seed)

@@ -13,7 +13,7 @@ from curlew.operators.catalog import enrich_recommendations, item_feature_lookup
 from curlew.operators.history import cold_start, lookup_latest
 from curlew.operators.popularity import fill_lists
 from curlew.operators.ranking import list_length, logistic_dot, rank
-from curlew.operators.vectors import knn
+from curlew.operators.vectors import knn, lookup_embeddings
 from curlew.operators.workflow import FittedWorkflow, decode, encode
 from curlew.session import store
 
@@ -77,23 +77,25 @@ def filled_rows(requests: DataFrame, lists: DataFrame, user_features: DataFrame,
     )
 
 
-def model_rows(rows: DataFrame, items: DataFrame, workflow: FittedWorkflow) -> DataFrame:
-    """Encoded user, item and context features of candidate rows, for a model scorer."""
+def model_rows(rows: DataFrame, items: DataFrame, workflow: FittedWorkflow, embeddings: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Encoded user, item and context features of candidate rows, for a model scorer, with the items' named vectors
+    (tables of ``idx`` and ``embedding``; zeros where an item has none)."""
     known = item_feature_lookup(rows, items).withColumn("click", F.lit(0)).withColumn("raw_item_id", F.col("item_id"))
     as_user = known.withColumn("raw_user_id", F.col("user_id")).withColumn("user_id", F.col("feature_user_id"))
-    return workflow.transform(as_user, keep=("request_id", "raw_user_id", "raw_item_id", "dot", "top_k"))
+    encoded = workflow.transform(as_user, keep=("request_id", "raw_user_id", "raw_item_id", "dot", "top_k"))
+    return lookup_embeddings(encoded, embeddings or {}, "raw_item_id")
 
 
 def recommend(requests: DataFrame, user_features: DataFrame, user_vectors: DataFrame, items: DataFrame, item_vectors: DataFrame,
               seen: DataFrame | None, workflow: FittedWorkflow, metadata: DataFrame, now: int, popular: DataFrame,
               scorer: Scorer | None = None, k_retrieve: int = 300, k_rank: int = 100, diversity: bool = False,
-              default_age: int = FALLBACK_AGE, seed: int = 42) -> DataFrame:
+              default_age: int = FALLBACK_AGE, seed: int = 42, embeddings: dict[str, DataFrame] | None = None) -> DataFrame:
     """Ranked, displayable recommendations for every request.
 
     A request's list is ``k_rank`` long, or as long as its own ``top_k`` says where it has that column (0 is no list).
     ``source`` tells the user's own candidates (``ranked``) from those that ``popular``, the popularity of items by scope,
-    fills up (``category``, ``popular``; without score). ``scorer`` adds ``score`` to encoded candidate rows; without one
-    the vector product is the score and the feature joins are not needed. Requests without a user are answered from the
+    fills up (``category``, ``popular``; without score). ``scorer`` adds ``score`` to encoded candidate rows, which also
+    carry the items' ``embeddings``; without one the vector product is the score and the feature joins are not needed. Requests without a user are answered from the
     global list.
     """
     if "top_k" not in requests.columns:
@@ -107,7 +109,7 @@ def recommend(requests: DataFrame, user_features: DataFrame, user_vectors: DataF
         scored = dot_scorer(candidate_rows(requests.select("request_id", "user_id", "top_k"), lists))
     else:
         rows = candidate_rows(request_features(requests, user_features, default_age, now), lists)
-        scored = scorer(model_rows(rows, items, workflow)).select(
+        scored = scorer(model_rows(rows, items, workflow, embeddings)).select(
             "request_id", F.col("raw_user_id").alias("user_id"), F.col("raw_item_id").alias("item_id"), "dot", "score", "top_k"
         )
     ranked = rank(scored, k_rank, diversity, seed=seed, top_k="top_k").drop("top_k")

@@ -15,7 +15,9 @@ from curlew.queries.features import fitted, rounded
 from curlew.queries.registry import query
 from curlew.queries.scans import TRAIN_DAYS, dated_log
 from curlew.queries.sql_views import AS_OF_US, DAY_US, h32, latest, seen_sql, transform_sql
+from curlew.session import scratch_path
 from curlew.sources import views
+from curlew.sources.sinks import write_splits
 
 # --- popularity -------------------------------------------------------------------------------------------------
 
@@ -237,6 +239,23 @@ def filter_seen_bitmap(spark, sf):
     return behavior.filter_seen_bitmap(candidates, behavior.seen_bitmaps(active_seen_set(spark, sf)))
 
 
+BLOOM = behavior.BloomSize(64, 0.02)
+BLOOM_SQL = f"""
+WITH seen_now AS MATERIALIZED ({seen_sql('touches', 'flushes')}),
+probes AS (SELECT DISTINCT user_id, item_id, ({h32('item_id', seed='bloom-a')} + probe * ({h32('item_id', seed='bloom-b')} | 1)) % {BLOOM.bits} AS bit
+  FROM (SELECT DISTINCT user_id, item_id FROM ix), range({BLOOM.probes}) AS r(probe)),
+bits AS (SELECT DISTINCT p.user_id, bit FROM probes p SEMI JOIN seen_now s ON p.user_id = s.user_id AND p.item_id = s.item_id),
+passed AS (SELECT DISTINCT p.user_id, p.item_id FROM probes p ANTI JOIN bits b ON p.user_id = b.user_id AND p.bit = b.bit)
+SELECT user_id, item_id FROM passed"""
+
+
+@query("filter_seen_bloom", BLOOM_SQL)
+def filter_seen_bloom(spark, sf):
+    """The filter of fixed size per user; the SQL sets and probes the same bits."""
+    candidates = views.ix(spark, sf).select("user_id", "item_id").distinct()
+    return behavior.filter_seen_bloom(candidates, behavior.seen_blooms(active_seen_set(spark, sf), BLOOM), BLOOM)
+
+
 @query(
     "seen_flag",
     "SELECT x.user_id, x.item_id, x.day, s.item_id IS NOT NULL AS is_seen FROM ixl x "
@@ -298,7 +317,9 @@ def old_days(rows: DataFrame) -> DataFrame:
 def replay_training_set(spark, sf):
     rows = views.ix(spark, sf)
     new = splits.split_fraction(rows.where(F.col("day") >= NEW_FROM), SPLIT_ORDER).where(F.col("split") == "train")
-    return splits.replay(new, old_days(rows)).select("event_id", "day", "origin")
+    path = scratch_path(spark, "history")
+    write_splits(old_days(rows), path)
+    return splits.replay_stored(new, path).select("event_id", "day", "origin")
 
 
 @query(
@@ -342,11 +363,13 @@ def new_days(spark, sf):
 
 
 def incremental_inputs(spark, sf, rows: DataFrame) -> tuple[DataFrame, ...]:
-    """New days, feature histories, live updates and the replay history out of the merged days."""
+    """New days, feature histories, live updates and the replay history out of the merged days, stored by split and day."""
     items = history.snapshot(views.items(spark, sf), F.lit(views.ORIGIN_US))
     new = views.ix(spark, sf).where(F.col("day") >= NEW_FROM)
     updates = spark.read.parquet(dated_log(spark, sf))
-    return new, user_history(spark, sf), items, updates, old_days(rows.drop("split"))
+    path = scratch_path(spark, "history")
+    write_splits(old_days(rows.drop("split")), path)
+    return new, user_history(spark, sf), items, updates, path
 
 
 def raw_incremental_sets(spark, sf, rows: DataFrame) -> tuple[DataFrame, DataFrame]:

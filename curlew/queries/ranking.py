@@ -44,6 +44,13 @@ def knn_inverted_exact(spark, sf):
     return vectors.knn(*queries_and_items(spark, sf), K_RETRIEVE, float_limit=0)
 
 
+@query("knn_ivf_all_cells", KNN_SQL)
+def knn_ivf_all_cells(spark, sf):
+    """The approximate search with every cell probed is the exact one."""
+    asked, items = queries_and_items(spark, sf)
+    return vectors.knn_ivf(asked, vectors.build_ivf(items, 32), K_RETRIEVE, n_probe=32)
+
+
 @query("knn_ivf")
 def knn_ivf(spark, sf):
     asked, items = queries_and_items(spark, sf)
@@ -90,6 +97,19 @@ def pca_embeddings(spark, sf):
     return vectors.pca(views.emb(spark, sf).select("item_id", "embedding"), 16)
 
 
+@query(
+    "pca_rotation",
+    """
+SELECT item_id, round(sqrt(list_sum(list_transform(list_zip(embedding, mean), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 4) AS from_mean
+FROM emb, (SELECT list(m ORDER BY i) AS mean FROM (
+  SELECT i, avg(embedding[i]) AS m FROM emb, range(1, 65) AS r(i) WHERE list_dot_product(embedding, embedding) > 0 GROUP BY i))""",
+)
+def pca_rotation(spark, sf):
+    """All components together are a rotation: distances from the mean stay."""
+    rotated = vectors.pca(views.emb(spark, sf).select("item_id", "embedding"), 64)
+    return rotated.select("item_id", F.round(norm(F.col("embedding")), 4).alias("from_mean"))
+
+
 # --- ranking and sampling ---------------------------------------------------------------------------------------
 
 
@@ -303,6 +323,28 @@ def refresh_user_factors(spark, sf):
     return models.fold_in_users(item_vectors, rows)
 
 
+@query("fold_in_residual", "SELECT DISTINCT user_id, CAST(0 AS DOUBLE) AS residual FROM ixl")
+def fold_in_residual(spark, sf):
+    """Largest residual of each user's normal equations against the frozen item vectors, in parts of the right side."""
+    rows = views.ixl(spark, sf)
+    _, item_vectors = models.fit_retrieval(rows.where(F.col("day") < 5), rank=ALS_RANK)
+    item_vectors = store(item_vectors, "factors")
+    # parts of 8 items, so that many users are solved from several parts
+    folded = models.fold_in_users(item_vectors, rows, fold_rows=8)
+    x, y = F.col("qvec"), F.col("embedding")
+    pairs = rows.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n")).join(item_vectors, "item_id").join(folded, "user_id")
+    weight, product = F.lit(models.ALPHA) * F.col("n"), dot(x, y)
+    own = pairs.select("user_id", F.posexplode(F.transform(as_double(y), lambda v: F.struct((v * weight * product).alias("l"), (v * (1 + weight)).alias("r")))).alias("i", "c"))
+    own = own.groupBy("user_id", "i").agg(F.sum("c.l").alias("l"), F.sum("c.r").alias("r"))
+    count = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_items"))
+    gram = [F.array(*[F.lit(float(v)) for v in row]) for row in models._gram(item_vectors, ALS_RANK)]
+    common = folded.join(count, "user_id").select(
+        "user_id", F.posexplode(F.array(*[dot(x, g) + x[i] * models.REGULARIZATION * F.col("n_items") for i, g in enumerate(gram)])).alias("i", "g")
+    )
+    off = own.join(common, ["user_id", "i"]).groupBy("user_id").agg((F.max(F.abs(F.col("l") + F.col("g") - F.col("r"))) / F.max(F.abs("r"))).alias("off"))
+    return off.select("user_id", (F.round("off", 3) + F.lit(0.0)).alias("residual"))
+
+
 CATEGORICAL = [c for p in (ITEM, USER, CONTEXT) for c in p.categorical]
 N_NEGATIVES = 5
 CONTINUOUS = ["price_log_norm", "age_norm", *CONTEXT.passthrough]
@@ -312,15 +354,26 @@ def labelled(spark, sf) -> tuple[workflow.FittedWorkflow, DataFrame]:
     """Encoded positives with their negatives, and the workflow that encoded them."""
     model, rows = fitted(spark, sf)
     both = sampling.with_negatives(rows, views.items(spark, sf), N_NEGATIVES)
-    encoded = model.transform(both, keep=("event_id", "split")).withColumn("label", F.col("click").cast("double"))
-    return model, store(encoded, "labelled")
+    return model, store(ranker_rows(spark, sf, model, both, ("event_id", "split")), "labelled")
+
+
+def item_embeddings(spark, sf) -> dict[str, DataFrame]:
+    """Image and text vectors of items; some items lack the second, many have none."""
+    image = views.emb(spark, sf).withColumnRenamed("item_id", "idx")
+    return {"image": image, "text": image.where(F.col("label") < 5)}
+
+
+def ranker_rows(spark, sf, model, rows, keep=()) -> DataFrame:
+    """Encoded rows with their label and the items' vectors."""
+    encoded = model.transform(rows.withColumn("raw_item_id", F.col("item_id")), keep=(*keep, "raw_item_id"))
+    return vectors.lookup_embeddings(encoded.withColumn("label", F.col("click").cast("double")), item_embeddings(spark, sf), "raw_item_id")
 
 
 @query("ranking_fm")
 def ranking_fm(spark, sf):
     """AUC of the click model on the validation days, negatives included."""
     _, rows = labelled(spark, sf)
-    ranker = models.fit_ranker(rows.where(F.col("split") == "train"), CATEGORICAL, CONTINUOUS)
+    ranker = models.fit_ranker(rows.where(F.col("split") == "train"), CATEGORICAL, CONTINUOUS, vectors=("image", "text"))
     return evaluate.auc(models.predict(ranker, rows.where(F.col("split") == "valid")))
 
 
@@ -332,9 +385,8 @@ def refresh_ranker(spark, sf):
     train, valid = raw_incremental_sets(spark, sf, rows)
     train = sampling.with_negatives(train, items, N_NEGATIVES)
     valid = sampling.with_negatives(valid, items, N_NEGATIVES)
-    encode_rows = lambda df: model.transform(df).withColumn("label", F.col("click").cast("double"))
-    ranker = models.fit_ranker(encode_rows(train), CATEGORICAL, CONTINUOUS)
-    return evaluate.auc(models.predict(ranker, encode_rows(valid)))
+    ranker = models.fit_ranker(ranker_rows(spark, sf, model, train), CATEGORICAL, CONTINUOUS, vectors=("image", "text"))
+    return evaluate.auc(models.predict(ranker, ranker_rows(spark, sf, model, valid)))
 
 
 @query(
@@ -409,6 +461,7 @@ def recommendations(spark, sf, model, scorer=None, default_age=36, asked=None) -
         asked or requests(spark, sf), online_users(spark, sf), views.user_vectors(spark, sf).select("user_id", "qvec"), items,
         views.emb(spark, sf).select("item_id", "embedding"), seen, model, views.item_metadata(spark, sf),
         views.AS_OF_US // 1_000_000, scopes(spark, sf), scorer, K_RETRIEVE, K_RANK, default_age=default_age,
+        embeddings=item_embeddings(spark, sf),
     )
 
 
@@ -428,5 +481,5 @@ def recommend_cold_start(spark, sf):
 def recommend_ranked(spark, sf):
     """The whole chain with the learned ranker instead of the vector product."""
     model, rows = labelled(spark, sf)
-    ranker = models.fit_ranker(rows.where(F.col("split") == "train"), CATEGORICAL, CONTINUOUS)
+    ranker = models.fit_ranker(rows.where(F.col("split") == "train"), CATEGORICAL, CONTINUOUS, vectors=("image", "text"))
     return recommendations(spark, sf, model, lambda c: models.predict(ranker, c), fitted_default_age(spark, sf))

@@ -138,6 +138,20 @@ def sink_upsert_latest(spark, sf):
     return table.read()
 
 
+@query("scan_required", "SELECT event_type, count(*) AS n FROM ix GROUP BY 1")
+def scan_required(spark, sf):
+    """An input that must not be empty; ``tests`` has the empty one."""
+    return group_counts(readers.require_input(views.ix(spark, sf), "events"), "event_type")
+
+
+@query("cached_counts", "SELECT item_id, count(*) AS n FROM ix GROUP BY 1")
+def cached_counts(spark, sf):
+    """A derived table that the second caller reads instead of computing it."""
+    path = scratch_path(spark, "counts")
+    readers.compute_or_load(spark, path, lambda: item_counts(views.ix(spark, sf)))
+    return readers.compute_or_load(spark, path, lambda: spark.createDataFrame([], "item_id bigint, n bigint"))
+
+
 @query("sink_json_roundtrip", "SELECT * FROM item_metadata")
 def sink_json_roundtrip(spark, sf):
     path = scratch_path(spark, "json")

@@ -67,3 +67,13 @@ def stream_parquet(spark: SparkSession, folder: str, file_glob: str, files_per_b
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(folder)
+
+
+def partition_values(spark: SparkSession, path: str, name: str) -> list[str]:
+    """The values of a partition column by the folders there are, without reading a file."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [s.getPath().getName() for s in files.listStatus(folder) if s.isDirectory()]
+    return sorted(f.removeprefix(f"{name}=") for f in found if f.startswith(f"{name}="))

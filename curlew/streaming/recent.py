@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,6 +25,8 @@ STATE = (
     f"touched boolean, {DELETED} boolean"
 )
 TOUCH, RENEWAL, FLUSH = 0, 1, 2  # a renewal is a touch of no particular item; it and a flush have item 0
+_CHANGED = Row("user_id", "items", "slots", "flushes", "newest_us", "touched", DELETED)
+_KNOWN = "items array<struct<item_id: bigint, ts_us: bigint>>, slots array<struct<slot: bigint, first_us: bigint, last_us: bigint>>, flushes array<bigint>, newest_us bigint"
 _INPUT = "user_id bigint, item_id bigint, ts_us bigint, kind int"
 
 
@@ -61,30 +63,25 @@ class RecentItems(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getMapState("items", "item_id bigint", "ts_us bigint")
-        self.slots = handle.getMapState("slots", "slot bigint", "first_us bigint, last_us bigint")
-        self.flushes = handle.getMapState("flushes", "ts_us bigint", "seen boolean")
-        self.newest = handle.getValueState("newest", "ts_us bigint")
+        # one value per user: an access to the store costs far more than the bytes of a set
+        self.known = handle.getValueState("known", _KNOWN)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         settled = timerValues.getCurrentWatermarkInMs() * 1000
-        items = {k[0]: v[0] for k, v in self.items.iterator()}
-        slots = {k[0]: (v[0], v[1]) for k, v in self.slots.iterator()}
-        flushes = {k[0] for k in self.flushes.keys()}
-        newest = self.newest.get()
-        newest = newest[0] if newest else None
-        before, touched = (dict(items), dict(slots), set(flushes), newest), False
-        for frame in rows:
-            for item, ts, kind in zip(frame.item_id.tolist(), frame.ts_us.tolist(), frame.kind.tolist(), strict=True):
-                if kind == FLUSH:
-                    flushes.add(ts)
-                    continue
-                touched = True
-                newest = ts if newest is None else max(newest, ts)
-                first, last = slots.get(ts // self.ttl, (ts, ts))
-                slots[ts // self.ttl] = (min(first, ts), max(last, ts))
-                if kind == TOUCH:
-                    items[item] = max(items.get(item, ts), ts)
+        known = self.known.get() or ([], [], [], None)
+        items, slots, flushes = dict(map(tuple, known[0])), {s: (first, last) for s, first, last in known[1]}, set(known[2])
+        newest, touched = known[3], False
+        for row in rows:
+            ts = row.ts_us
+            if row.kind == FLUSH:
+                flushes.add(ts)
+                continue
+            touched = True
+            newest = ts if newest is None else max(newest, ts)
+            first, last = slots.get(ts // self.ttl, (ts, ts))
+            slots[ts // self.ttl] = (min(first, ts), max(last, ts))
+            if row.kind == TOUCH:
+                items[row.item_id] = max(items.get(row.item_id, ts), ts)
 
         start = None
         previous = None
@@ -106,55 +103,31 @@ class RecentItems(StatefulProcessor):
         if ends <= settled:
             yield self._forget(key[0], newest)
             return
-        self._store(self.items, before[0], {i: (t,) for i, t in items.items()}, {i: (t,) for i, t in before[0].items()})
-        self._store(self.slots, before[1], slots, before[1])
-        self._store(self.flushes, before[2], {f: (True,) for f in flushes}, {f: (True,) for f in before[2]})
-        if newest is not None and newest != before[3]:
-            self.newest.update((newest,))
+        self.known.update((list(items.items()), [(s, *v) for s, v in slots.items()], list(flushes), newest))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
         self.handle.registerTimer(-(-ends // 1000))
         yield self._row(key[0], items, slots, flushes, newest, touched, False)
 
-    @staticmethod
-    def _store(state, old, new: dict, was: dict) -> None:
-        for k in old:
-            if k not in new:
-                state.removeKey((k,))
-        for k, v in new.items():
-            if was.get(k) != v:
-                state.updateValue((k,), v)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        newest = self.newest.get()
-        yield self._forget(key[0], newest[0] if newest else None)
-
-    def _forget(self, user, newest) -> pd.DataFrame:
-        for state in (self.items, self.slots, self.flushes, self.newest):
-            state.clear()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.known.get()
+        yield self._forget(key[0], known[3] if known else None)
+
+    def _forget(self, user, newest) -> Row:
+        self.known.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
         return self._row(user, {}, {}, set(), newest, False, True)
 
     @staticmethod
-    def _row(user, items: dict, slots: dict, flushes: set, newest, touched: bool, gone: bool) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "user_id": [user],
-                "items": [[{"item_id": i, "ts_us": t} for i, t in sorted(items.items())]],
-                "slots": [[{"slot": s, "first_us": a, "last_us": b} for s, (a, b) in sorted(slots.items())]],
-                "flushes": [sorted(flushes)],
-                "newest_us": pd.array([newest], "Int64"),
-                "touched": [touched],
-                DELETED: [gone],
-            }
-        )
+    def _row(user, items: dict, slots: dict, flushes: set, newest, touched: bool, gone: bool) -> Row:
+        return _CHANGED(user, sorted(items.items()), [(s, *v) for s, v in sorted(slots.items())], sorted(flushes), newest, touched, gone)
 
 
 def changes(rows: DataFrame, ttl: int, delay: str) -> DataFrame:
     """The stream of changed users, by the touches and flushes of ``marks``; later than ``delay`` is too late."""
     keyed = combined(rows, ttl).withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", delay)
-    return keyed.groupBy("user_id").transformWithStateInPandas(
+    return keyed.groupBy("user_id").transformWithState(
         statefulProcessor=RecentItems(ttl), outputStructType=STATE, outputMode="Update", timeMode="EventTime"
     )
 
