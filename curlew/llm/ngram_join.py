@@ -37,7 +37,8 @@ KEY_BYTES = 4
 CHARS_PER_PART = 16 << 20
 RARE = 16
 BLOCK_TOKENS = 100_000
-SLICE = 4096  # columns of a comparison held at a time
+SLICE = 4096  # columns of a comparison held at a time, at most,
+CELLS = 4_000_000  # and cells of a matrix
 
 
 def shingle_sets(chunk: Chunk, size: int = SHINGLE) -> list[np.ndarray]:
@@ -194,23 +195,33 @@ def _key_rows(listed: DataFrame, percent: int) -> DataFrame:
     return listed.mapInArrow(run, "key bigint, class bigint")
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of two blocks, by products of incidence matrices, some columns at a time."""
-    a, b = np.concatenate(left), np.concatenate(right)
-    both = np.intersect1d(a, b)
+def _patterns(frame: pd.DataFrame, known: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """(columns of ``known``, size, members) of each pattern: classes of one size that hold the same of the known tokens are alike to all
+    others, so they are compared as one."""
+    groups: dict[tuple[int, bytes], list[int]] = {}
+    for i, (tokens, size) in enumerate(zip(frame.tokens, frame["size"].tolist(), strict=True)):
+        values = np.frombuffer(tokens, "<u8")
+        at = np.searchsorted(known, values)
+        at[at == len(known)] = 0
+        held = at[known[at] == values] if len(known) else at[:0]
+        groups.setdefault((size, np.sort(held).astype(np.int64).tobytes()), []).append(i)
+    columns = [np.frombuffer(key, np.int64) for _, key in groups]
+    return columns, np.array([size for size, _ in groups], np.int64), [np.array(m) for m in groups.values()]
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int) -> np.ndarray:
+    """Sizes of the intersections of all sets of column numbers below ``width``, by products of incidence matrices, some columns at a
+    time."""
     out = np.zeros((len(left), len(right)), np.float32)
     cells = []
-    for values, sets in ((a, left), (b, right)):
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        column = np.searchsorted(both, values)
-        column[column == len(both)] = 0
-        true = both[column] == values if len(both) else np.zeros(len(values), bool)
-        cells.append((row[true], column[true]))
-    for start in range(0, len(both), SLICE):
+    for sets in (left, right):
+        cells.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64)))
+    step = max(64, min(SLICE, CELLS // max(len(left), len(right), 1)))
+    for start in range(0, width, step):
         parts = []
         for (row, column), sets in zip(cells, (left, right), strict=True):
-            at = (column >= start) & (column < start + SLICE)
-            part = np.zeros((len(sets), min(SLICE, len(both) - start)), np.float32)
+            at = (column >= start) & (column < start + step)
+            part = np.zeros((len(sets), min(step, width - start)), np.float32)
             part[row[at], column[at] - start] = 1
             parts.append(part)
         out += parts[0] @ parts[1].T
@@ -218,15 +229,34 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _forest(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links between the classes of two blocks, as many as connect what is similar."""
-    sets = [[np.frombuffer(t, "<u8") for t in f.tokens] for f in (left, right)]
-    common = overlaps(*sets).astype(np.int64)
-    union = left["size"].to_numpy()[:, None] + right["size"].to_numpy()[None, :] - common
-    forest, names, links = Forest(), (left["class"].to_numpy(), right["class"].to_numpy()), []
-    for i, j in np.argwhere((100 * common >= percent * union) & (common > 0)):
-        a, b = int(names[0][i]), int(names[1][j])
-        if a != b and forest.join(a, b):
-            links.append((min(a, b), max(a, b)))
+    """Links between the classes of two blocks (or of one with itself), as many as connect what is similar.
+
+    Only tokens that can be common to two classes count, and rows of the comparison are made some at a time, so memory follows the
+    tokens and not the square of the classes."""
+    values = [np.frombuffer(b"".join(f.tokens), "<u8") for f in (left, right)]
+    if left is right:
+        known, times = np.unique(values[0], return_counts=True)
+        known = known[times > 1]
+    else:
+        known = np.intersect1d(*values)
+    names = [f["class"].to_numpy() for f in (left, right)]
+    (a, a_size, a_members), (b, b_size, b_members) = (_patterns(f, known) for f in (left, right))
+    forest, links = Forest(), []
+
+    def join(x: int, y: int) -> None:
+        if x != y and forest.join(x, y):
+            links.append((min(x, y), max(x, y)))
+
+    step = max(1, CELLS // max(len(b), 1))
+    for start in range(0, len(a), step):
+        common = overlaps(a[start : start + step], b, len(known)).astype(np.int64)
+        union = a_size[start : start + step, None] + b_size[None, :] - common
+        for i, j in np.argwhere((100 * common >= percent * union) & (common > 0)):
+            xs, ys = names[0][a_members[start + i]], names[1][b_members[j]]
+            for x in xs:
+                join(int(x), int(ys[0]))
+            for y in ys:
+                join(int(xs[0]), int(y))
     return links
 
 
