@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,14 +54,20 @@ def dense_vectors(sparse: DataFrame, dim: int, id_col: str = "item_id") -> DataF
     return sparse.groupBy(id_col).agg(entries.alias("entries")).select(id_col, filled.alias("embedding"))
 
 
+@functools.lru_cache(maxsize=200_000)
+def _bucket(token: str, dim: int) -> int:
+    digest = hashlib.md5(f"{token}:bucket".encode(), usedforsecurity=False).hexdigest()
+    return int(digest[:8], 16) % dim
+
+
 def hashed_terms(texts: list[str], dim: int = TEXT_DIM) -> np.ndarray:
-    """Default encoder: unit vectors of hashed token counts."""
+    """Default encoder: unit vectors of hashed token counts. A token is hashed once per task, not once per occurrence."""
     out = np.zeros((len(texts), dim))
     for row, text in enumerate(texts):
-        for token in re.split(SEPARATORS, text.lower()):
+        counted = Counter(re.split(SEPARATORS, text.lower()))
+        for token, n in counted.items():
             if token:
-                digest = hashlib.md5(f"{token}:bucket".encode(), usedforsecurity=False).hexdigest()
-                out[row, int(digest[:8], 16) % dim] += 1.0
+                out[row, _bucket(token, dim)] += n
     lengths = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, lengths, out=out, where=lengths > 0)
 

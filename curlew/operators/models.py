@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curlew.operators.popularity import group_counts
+from curlew.operators.rowindex import with_row_index
 from curlew.session import store
 
 ALPHA, REGULARIZATION = 10.0, 0.1
@@ -24,17 +25,32 @@ FOLD_FAN = 64
 
 def fit_retrieval(interactions: DataFrame, rank: int = 64, seed: int = 42, iterations: int = 5) -> tuple[DataFrame, DataFrame]:
     """User and item vectors from implicit feedback counts: ``(user_id, qvec)`` and ``(item_id, embedding)``."""
-    counts = group_counts(interactions, "user_id", "item_id").select(
-        F.col("user_id").cast("int").alias("user"), F.col("item_id").cast("int").alias("item"), F.col("n").cast("float").alias("rating")
+    counts = store(group_counts(interactions.where("user_id IS NOT NULL AND item_id IS NOT NULL"), "user_id", "item_id"), "ratings")
+    users, items = _short_ids(counts, "user_id"), _short_ids(counts, "item_id")
+    for ids, column in ((users, "user_id"), (items, "item_id")):
+        counts = counts.withColumn(f"{column}_short", F.col(column)) if ids is None else counts.join(ids, column)
+    counts = counts.select(
+        F.col("user_id_short").cast("int").alias("user"), F.col("item_id_short").cast("int").alias("item"), F.col("n").cast("float").alias("rating")
     )
     model = ALS(
         rank=rank, maxIter=iterations, regParam=REGULARIZATION, alpha=ALPHA, implicitPrefs=True, seed=seed,
         userCol="user", itemCol="item", ratingCol="rating",
     ).fit(counts)
-    return (
-        model.userFactors.select(F.col("id").cast("bigint").alias("user_id"), F.col("features").alias("qvec")),
-        model.itemFactors.select(F.col("id").cast("bigint").alias("item_id"), F.col("features").alias("embedding")),
-    )
+
+    def named(factors: DataFrame, ids: DataFrame | None, column: str, vector: str) -> DataFrame:
+        short = factors.select(F.col("id").cast("bigint").alias(f"{column}_short"), F.col("features").alias(vector))
+        full = short.withColumn(column, F.col(f"{column}_short")) if ids is None else short.join(ids, f"{column}_short")
+        return full.select(column, vector)
+
+    return named(model.userFactors, users, "user_id", "qvec"), named(model.itemFactors, items, "item_id", "embedding")
+
+
+def _short_ids(counts: DataFrame, column: str) -> DataFrame | None:
+    """``(column, column_short)``: a number that fits 32 bits for each id; None if all ids fit as they are."""
+    low, high = counts.agg(F.min(column), F.max(column)).first()
+    if low is None or (low >= -(2**31) and high < 2**31):
+        return None
+    return store(with_row_index(counts.select(column).distinct(), [F.col(column)], f"{column}_short"), "ids")
 
 
 def fold_in_users(item_vectors: DataFrame, interactions: DataFrame, alpha: float = ALPHA, reg: float = REGULARIZATION,

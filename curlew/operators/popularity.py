@@ -11,6 +11,7 @@ from curlew.session import store
 
 # Up to this many lists (one short array each) are broadcast.
 BROADCAST_LISTS = 10_000
+_CATEGORIES = 1 << 32  # categories are 32-bit numbers
 
 
 def group_counts(df: DataFrame, *keys: str) -> DataFrame:
@@ -72,10 +73,12 @@ def top_category(interactions: DataFrame, items: DataFrame) -> DataFrame:
         .groupBy("user_id", "category_l1")
         .agg(F.sum("n").alias("n"))
     )
-    best = F.max(F.struct(F.col("n"), (-F.col("category_l1")).alias("negated")))
-    return per_category.groupBy("user_id").agg(best.alias("best")).select(
-        "user_id", (-F.col("best.negated")).cast("int").alias("top_category")
-    )
+    # Count and category in one decimal, which the hash aggregate can hold; a struct would sort the rows first.
+    below = _CATEGORIES - 1 - (F.col("category_l1").cast("bigint") + F.lit(_CATEGORIES // 2))
+    packed = F.col("n").cast("decimal(20, 0)") * F.lit(_CATEGORIES).cast("decimal(11, 0)") + below.cast("decimal(11, 0)")
+    best = per_category.groupBy("user_id").agg(F.max(packed).alias("best"))
+    category = F.lit(_CATEGORIES // 2 - 1) - (F.col("best") % F.lit(_CATEGORIES).cast("decimal(11, 0)")).cast("bigint")
+    return best.select("user_id", category.cast("int").alias("top_category"))
 
 
 def ranked_lists(popular: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:

@@ -23,14 +23,13 @@ def with_negatives(rows: DataFrame, items: DataFrame, n: int = 5, seed: int = 42
     """Enriched positive rows (``click`` 1) together with their negatives (``click`` 0), which share the user and context
     of the positive and take the item columns of the drawn item."""
     item_columns = [c for c in items.columns if c != "item_id"]
-    drawn = sample_negatives(rows.select("event_id", "user_id", "item_id"), items, n, seed)
-    context = rows.drop("item_id", "click", *item_columns)
-    negatives = drawn.select("event_id", "item_id").join(context, "event_id").join(items, "item_id")
-    return rows.unionByName(negatives.withColumn("click", F.lit(0)))
+    drawn = sample_negatives(rows.drop("click", *item_columns), items, n, seed).drop("draw", "positive_item_id", "label")
+    return rows.unionByName(drawn.join(items, "item_id").withColumn("click", F.lit(0)))
 
 
 def sample_negatives(positives: DataFrame, items: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
-    """``n`` items per positive row, drawn by hash from the catalog; pairs that are positive somewhere are dropped.
+    """``n`` items per positive row, drawn by hash from the catalog; pairs that are positive somewhere are dropped. Other
+    columns of the positive stay on its negatives.
 
     The draw is a position in the numbered catalog, so it is found by an equi-join. The catalog is small beside the
     interactions; a position drawn from a hash spreads evenly over it.

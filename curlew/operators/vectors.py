@@ -128,33 +128,31 @@ def build_ivf(items: DataFrame, n_cells: int = 32, seed: int = 42) -> IvfIndex:
     model = KMeans(k=n_cells, seed=seed, maxIter=10, solver="row", predictionCol="cell").fit(vectors)
     centroids = np.array(model.clusterCenters())
     placed = cut_lineage(model.transform(vectors).select("item_id", "embedding", "cell"))
-    table = _array_literals(centroids)
-    offset = F.zip_with(F.col("embedding").cast("array<double>"), F.get(table, F.col("cell")), lambda x, c: x - c)
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(norm(offset)).alias("radius")).collect()
+    # as many rows as there are cells
+    table = placed.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "cell int, centroid array<double>")
+    offset = F.zip_with(F.col("embedding").cast("array<double>"), "centroid", lambda x, c: x - c)
+    stats = placed.join(F.broadcast(table), "cell").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(norm(offset)).alias("radius")).collect()
     radii, sizes = np.zeros(len(centroids)), np.zeros(len(centroids), dtype=np.int64)
     for row in stats:  # one row per cell
         radii[row.cell], sizes[row.cell] = row.radius, row.n
     return IvfIndex(centroids, radii, sizes, placed)
 
 
-def _array_literals(matrix: np.ndarray):
-    return F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in matrix])
-
-
 def _search_cells(routed: DataFrame, index: IvfIndex, k: int) -> DataFrame:
     """Search the ``(request_id, qvec, cell)`` routes. Cells with many items or many queries are cut into blocks, so
     the largest cell costs more rows, not a larger task."""
     routed = cut_lineage(routed)
     busy = {r.cell: r.n for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_cells = len(index.centroids)
-    item_parts = F.array(*[F.lit(max(1, math.ceil(int(n) / ITEM_BLOCK))) for n in index.sizes])
-    query_parts = F.array(*[F.lit(max(1, math.ceil(busy.get(c, 0) / QUERY_BLOCK))) for c in range(n_cells)])
-    items = index.items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.get(item_parts, F.col("cell"))))
+    parts = [
+        (c, max(1, math.ceil(int(n) / ITEM_BLOCK)), max(1, math.ceil(busy.get(c, 0) / QUERY_BLOCK))) for c, n in enumerate(index.sizes)
+    ]
+    cut = F.broadcast(routed.sparkSession.createDataFrame(parts, "cell int, item_parts bigint, query_parts bigint"))
+    items = index.items.join(cut, "cell").withColumn("block", F.pmod(F.xxhash64("item_id"), F.col("item_parts")))
     blocks = _pack(items, ["cell", "block"], "item_id", "embedding", "i")
-    chunked = routed.withColumn("chunk", F.pmod(F.xxhash64("request_id"), F.get(query_parts, F.col("cell"))))
-    packed = _pack(chunked, ["cell", "chunk"], "request_id", "qvec", "q")
+    chunked = routed.join(cut, "cell").withColumn("chunk", F.pmod(F.xxhash64("request_id"), F.col("query_parts")))
+    packed = _pack(chunked, ["cell", "chunk", "item_parts"], "request_id", "qvec", "q")
     # Each query chunk names the blocks of its cell, so the join key is (cell, block) and a hot cell spreads out.
-    last_block = (F.get(item_parts, F.col("cell")) - 1).cast("bigint")
+    last_block = F.col("item_parts") - 1
     pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block))).join(
         blocks, ["cell", "block"]
     )

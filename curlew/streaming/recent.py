@@ -9,10 +9,9 @@ of the last TTL only. Each micro-batch emits the users it touched, as they then
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -130,18 +129,3 @@ def changes(rows: DataFrame, ttl: int, delay: str) -> DataFrame:
     return keyed.groupBy("user_id").transformWithState(
         statefulProcessor=RecentItems(ttl), outputStructType=STATE, outputMode="Update", timeMode="EventTime"
     )
-
-
-@contextmanager
-def state_store(spark: SparkSession):
-    """Streams that start inside keep their state in RocksDB; the session's own setting stays as it was."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)

@@ -13,7 +13,8 @@ from curlew.operators.behavior import WEEK_TTL, majority_category
 from curlew.operators.commands import parse_records, route
 from curlew.sources.keyed import KeyedTable
 from curlew.sources.sinks import write_batch
-from curlew.streaming.recent import STATE, changes, marks, state_store
+from curlew.streaming.recent import STATE, changes, marks
+from curlew.streaming.settings import STREAMING, settings
 
 LATE = "1 hour"  # how much later than the newest one a command may arrive
 
@@ -21,7 +22,7 @@ LATE = "1 hour"  # how much later than the newest one a command may arrive
 def run_batches(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> list[dict]:
     """Process everything available in micro-batches and stop; the reports of the last of them."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(on_batch)
-    with state_store(stream.sparkSession):
+    with settings(stream.sparkSession, STREAMING):
         query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     return query.recentProgress
@@ -32,7 +33,9 @@ def run_to_files(stream: DataFrame, path: str, *partitions: str) -> DataFrame:
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{path}-checkpoint").format("parquet")
     if partitions:
         writer = writer.partitionBy(*partitions)
-    writer.trigger(availableNow=True).start(path).awaitTermination()
+    with settings(stream.sparkSession, STREAMING):
+        query = writer.trigger(availableNow=True).start(path)
+    query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
@@ -145,9 +148,8 @@ def deduplicate(stream: DataFrame, key: str, delay: str) -> DataFrame:
 def seen_sessions(touches: DataFrame, ttl_seconds: int, delay: str) -> DataFrame:
     """Seen sets as session windows; a set is emitted once the watermark passes its end.
 
-    Sessions are merged inside each task before the shuffle, so a very active user sends sessions, not touches.
+    Started under ``STREAMING``, sessions are merged inside each task before the shuffle.
     """
-    touches.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     session = F.session_window("event_time", f"{ttl_seconds} seconds")
     return (
         event_time(touches, delay)
@@ -159,18 +161,22 @@ def seen_sessions(touches: DataFrame, ttl_seconds: int, delay: str) -> DataFrame
     )
 
 
-def daily_popularity(stream: DataFrame, path: str) -> DataFrame:
-    """Interactions per day and item. Each batch stores the counts it changed; the newest batch of a key wins."""
-    spark = stream.sparkSession
+def daily_popularity(stream: DataFrame, path: str, late: str = "1 day") -> DataFrame:
+    """Interactions per day and item, kept in a keyed table that each batch updates.
+
+    The stream's own state holds the days that the watermark has not passed; interactions that are more than ``late`` behind the newest
+    one are not counted.
+    """
     counts = (
-        stream.withColumn("event_time", F.timestamp_micros("ts_us"))
+        event_time(stream, late)
         .groupBy(F.window("event_time", "1 day").alias("w"), "item_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.unix_micros("w.start").alias("day_us"), "item_id", "n")
     )
-    run_batches(counts, lambda batch, i: write_batch(batch, f"{path}/counts", i), f"{path}/checkpoint", mode="update")
-    stored = spark.read.parquet(f"{path}/counts")
-    return stored.groupBy("day_us", "item_id").agg(F.max_by("n", "batch_id").alias("n"))
+    table = KeyedTable(stream.sparkSession, path, ["day_us", "item_id"], [])
+    run_batches(counts, table.upsert, f"{path}/checkpoint", mode="update")
+    stored = table.read()
+    return stream.sparkSession.createDataFrame([], counts.schema) if stored is None else stored
 
 
 def counter_deltas(samples: DataFrame, window_us: int) -> DataFrame:
