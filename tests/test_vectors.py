@@ -81,6 +81,30 @@ def test_probing_all_cells_is_exact_and_recall_grows(clustered):
     assert recall[0] > 0.5
 
 
+@pytest.mark.parametrize("float_limit", [0, 10**9])
+def test_tasks_hold_bounded_parts_and_emit_one_list_per_stripe(clustered, monkeypatch, float_limit):
+    """Stripes and chunks smaller than the largest cell, and ties across them; a query's list leaves a stripe once, however many
+    blocks and cells lie in it."""
+    (queries, items), truth = clustered
+    monkeypatch.setattr(vectors, "ITEM_BLOCK", 20)
+    monkeypatch.setattr(vectors, "ITEM_FLOATS", 16 * 250)
+    monkeypatch.setattr(vectors, "QUERY_FLOATS", 20 * 17)
+    close(as_lists(vectors.knn(queries, items, 20, float_limit)), truth)
+    index = vectors.build_ivf(items, 8)
+    laid = vectors._stripes(index)
+    found = vectors._search_cells(vectors._requests(queries), index, 20, vectors._nearest_cells(index, 8))
+    assert len(laid.cells) > 1 and sorted({c for cells in laid.cells for c in cells}) == list(range(8))
+    assert found.count() <= len(truth) * len(laid.cells) * 20
+
+
+def test_stripes_hold_empty_large_and_small_cells(monkeypatch):
+    monkeypatch.setattr(vectors, "ITEM_FLOATS", 20)
+    index = vectors.IvfIndex(np.zeros((6, 2)), np.zeros(6), np.array([0, 4, 25, 0, 7, 4]), None)
+    laid = vectors._stripes(index)
+    assert laid.cells == [[0, 1], [2], [2], [2, 3], [4], [5]] and laid.parts == [1, 1, 3, 1, 1, 1]
+    assert all(laid.cells[s][laid.place[c]] == c for c in range(6) for s in range(laid.first[c], laid.first[c] + laid.parts[c]))
+
+
 def test_more_results_than_items(clustered):
     (queries, items), _ = clustered
     few = items.where("item_id < 5")
