@@ -65,16 +65,17 @@ def fold_in_users(item_vectors: DataFrame, interactions: DataFrame, alpha: float
     gram = _gram(item_vectors, dim)
     upper = np.triu_indices(dim)
     # a user's items without a vector count for neither the parts nor the equations
-    pairs = group_counts(interactions, "user_id", "item_id").join(item_vectors, "item_id")
-    per_user = group_counts(interactions.select("user_id", "item_id").distinct().join(item_vectors.select("item_id"), "item_id"), "user_id")
-    per_user = per_user.select("user_id", F.ceil(F.col("n") / fold_rows).alias("n_parts"))
+    counted = store(group_counts(interactions, "user_id", "item_id"), "ratings")
+    pairs = counted.join(item_vectors, "item_id")
+    per_user = group_counts(counted.join(item_vectors.select("item_id"), "item_id"), "user_id")
+    per_user = per_user.select("user_id", F.col("n").alias("n_items"), F.ceil(F.col("n") / fold_rows).alias("n_parts"))
     part = F.pmod(F.xxhash64("item_id"), F.col("n_parts"))
     members = F.collect_list(F.struct("n", "embedding")).alias("members")
     parts = (
         pairs.join(per_user, "user_id")
-        .groupBy("user_id", "n_parts", part.alias("part"))
+        .groupBy("user_id", "n_items", "n_parts", part.alias("part"))
         .agg(members)
-        .select("user_id", "n_parts", "part", F.col("members.n").alias("counts"), F.flatten("members.embedding").alias("vectors"))
+        .select("user_id", "n_items", "n_parts", "part", F.col("members.n").alias("counts"), F.flatten("members.embedding").alias("vectors"))
     )
 
     def solved(packed: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -85,15 +86,26 @@ def fold_in_users(item_vectors: DataFrame, interactions: DataFrame, alpha: float
 
     def add_up(batches):
         for batch in batches:
-            rows = []
-            for user, n_parts, number, counts, flat in zip(batch.user_id, batch.n_parts, batch.part, batch.counts, batch.vectors, strict=True):
+            rows, added, whole = [], {}, {}  # parts of a user that lie together are added up here
+            for user, n_items, n_parts, number, counts, flat in zip(batch.user_id, batch.n_items, batch.n_parts, batch.part, batch.counts, batch.vectors, strict=True):
                 vectors = np.asarray(flat, dtype=np.float64).reshape(len(counts), dim)
                 weight = alpha * np.asarray(counts, dtype=np.float64)
                 packed, right = ((vectors * weight[:, None]).T @ vectors)[upper], (1.0 + weight) @ vectors
                 if n_parts == 1:
                     rows.append((user, 0, solved(packed, right, len(counts)), None, len(counts)))
                 else:
-                    rows.append((user, number, None, np.concatenate([packed, right]), len(counts)))
+                    sums, key = np.concatenate([packed, right]), (user, number // FOLD_FAN)
+                    first, before, n = added.get(key, (number, 0.0, 0))
+                    added[key] = (min(first, number), before + sums, n + len(counts))
+                    whole[user] = whole.get(user, n_items) - len(counts)
+            complete = {user: 0.0 for user, missing in whole.items() if not missing}
+            for (user, _), (number, sums, n) in added.items():
+                if user in complete:
+                    complete[user] = complete[user] + sums
+                else:
+                    rows.append((user, number, None, sums, n))
+            totals = dict(zip(batch.user_id, batch.n_items, strict=True))
+            rows += [(user, 0, solved(s[: len(upper[0])], s[len(upper[0]) :], totals[user]), None, totals[user]) for user, s in complete.items()]
             yield pd.DataFrame(rows, columns=["user_id", "part", "qvec", "sums", "n"])
 
     def solve(batches):

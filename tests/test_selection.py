@@ -102,6 +102,22 @@ def test_folded_users_solve_their_equations_in_any_parts(spark):
             assert np.allclose(got[user], np.linalg.solve(left, (1 + models.ALPHA * n) @ y), atol=1e-5)
 
 
+def test_parts_of_a_user_are_added_up_before_they_are_stored(spark, monkeypatch):
+    stored, store = [], models.store
+
+    def noted(df, name):
+        stored.append((name, store(df, name)))
+        return stored[-1][1]
+
+    monkeypatch.setattr(models, "store", noted)
+    items = spark.createDataFrame([(i, [1.0, float(i % 7)]) for i in range(256)], "item_id bigint, embedding array<float>")
+    interactions = spark.createDataFrame([(1, i) for i in range(256)], "user_id bigint, item_id bigint")
+    assert models.fold_in_users(items, interactions, fold_rows=2).count() == 1
+    made = next(df for name, df in stored if name == "equations")
+    assert made.count() <= 2 * 256 / 2 / models.FOLD_FAN  # a row for each part before
+    assert made.agg(F.sum("n")).first()[0] == 256
+
+
 def test_ranker_weighs_codes_and_vectors(spark):
     rng = np.random.default_rng(4)
     rows = []
