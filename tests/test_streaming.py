@@ -220,3 +220,12 @@ def test_counter_metric(spark):
         "grp bigint, series bigint, ts_us bigint, queue_us double, success bigint",
     )
     assert streams.counter_deltas(samples, 30_000_000).first().avg_time_queue_ms == 1.0
+
+
+def test_state_stores_share_one_bound(spark):
+    from curlew.streaming.settings import STREAMING, settings
+
+    name = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
+    with settings(spark, STREAMING):
+        assert spark.conf.get(name) == "true" and int(spark.conf.get(name.replace("boundedMemoryUsage", "maxMemoryUsageMB"))) <= 1000
+    assert spark.conf.get(name, None) in (None, "false")
