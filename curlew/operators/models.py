@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,13 +16,17 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curlew.operators import factors
+from curlew.operators.factors import FACTORS, STEP_SIZE, STEPS, FactorModel, Layout
 from curlew.operators.popularity import group_counts
 from curlew.operators.rowindex import with_row_index
+from curlew.operators.vectors import lookup_embeddings
 from curlew.session import store
 
 ALPHA, REGULARIZATION = 10.0, 0.1
 FOLD_ROWS = 2048
 FOLD_FAN = 64
+DIM = 64  # of vectors when a table has none
 
 
 def fit_retrieval(interactions: DataFrame, rank: int = 64, seed: int = 42, iterations: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -156,33 +162,88 @@ def _gram(item_vectors: DataFrame, dim: int) -> np.ndarray:
     return gram.reshape(dim, dim)
 
 
+@dataclass
+class FittedRanker:
+    """A fitted click model: Spark's pipeline for its numbers, then the factorisation machine."""
+
+    numbers: PipelineModel
+    factors: FactorModel
+    tables: dict[str, DataFrame]
+    key: str
+
+    @property
+    def stages(self) -> list:
+        return [*self.numbers.stages, self.factors]
+
+
 def fit_ranker(rows: DataFrame, categorical: list[str], continuous: list[str], label: str = "label", kind: str = "fm",
-               buckets: int | None = None, seed: int = 42, vectors: tuple[str, ...] = ()) -> PipelineModel:
+               buckets: int | None = None, seed: int = 42, vectors: tuple[str, ...] = (), tables: dict[str, DataFrame] | None = None,
+               key: str = "raw_item_id") -> PipelineModel | FittedRanker:
     """Click model on encoded features: a place for every code of each category (codes that training lacks share one),
     scaled numbers with the training mean for unknown ones, and the components of the ``vectors`` columns (arrays).
 
     The factorisation machine weighs all pairs of these: codes with codes, codes with vector components, and components of two vectors,
-    which makes their dot product one of its terms. Its size follows the fitted vocabulary; ``buckets`` hashes the codes to a set
-    width instead.
+    which makes their dot product one of its terms. Its size follows the fitted vocabulary, so its parameters stay dealt over the cluster
+    (``factors``); ``buckets`` hashes the codes to a set width instead. With ``tables`` of ``(idx, embedding)``, the rows have the
+    item's ``key`` instead of its vectors, and these are looked up once for each item (zeros where it has none).
     """
+    if kind == "fm" and buckets is None:
+        return _fit_factors(rows, categorical, continuous, label, seed, vectors, tables or {}, key)
+    if tables:
+        rows, vectors = lookup_embeddings(rows, tables, key), tuple(tables)
     # Each pass of the optimiser reads the rows again, so they are stored first.
     rows = _dense(store(rows.select(label, *categorical, *continuous, *vectors), "training"), vectors)
-    known = [f"{c}_known" for c in continuous]
-    imputed = Imputer(inputCols=continuous, outputCols=known)
-    numbers = VectorAssembler(inputCols=known, outputCol="numbers")
+    prepared = _numbers(continuous)
     if buckets is None:
         codes = [f"{c}_code" for c in categorical]
         coded = OneHotEncoder(inputCols=categorical, outputCols=codes, handleInvalid="keep", dropLast=False)
     else:
         codes = ["hashed"]
         coded = FeatureHasher(inputCols=categorical, categoricalCols=categorical, numFeatures=buckets, outputCol="hashed")
-    scaled = StandardScaler(inputCol="numbers", outputCol="scaled")
     joined = VectorAssembler(inputCols=[*codes, "scaled", *[f"{c}{_DENSE}" for c in vectors]], outputCol="features")
     if kind == "fm":
-        model = FMClassifier(labelCol=label, factorSize=8, maxIter=15, stepSize=0.05, seed=seed)
+        model = FMClassifier(labelCol=label, factorSize=FACTORS, maxIter=STEPS, stepSize=STEP_SIZE, seed=seed)
     else:
         model = LogisticRegression(labelCol=label, maxIter=20, regParam=0.01)
-    return Pipeline(stages=[imputed, numbers, coded, scaled, joined, model]).fit(rows)
+    return Pipeline(stages=[*prepared, coded, joined, model]).fit(rows)
+
+
+def _numbers(continuous: list[str]) -> list:
+    """The stages that make ``scaled`` of the continuous columns."""
+    known = [f"{c}_known" for c in continuous]
+    return [
+        Imputer(inputCols=continuous, outputCols=known),
+        VectorAssembler(inputCols=known, outputCol="numbers"),
+        StandardScaler(inputCol="numbers", outputCol="scaled"),
+    ]
+
+
+def _sides(tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """The vectors of every item that has some; an item with several rows in a table has several here."""
+    ids = reduce(DataFrame.union, [t.select(F.col("idx").alias(key)) for t in tables.values()]).where(F.col(key).isNotNull()).distinct()
+    return lookup_embeddings(ids, tables, key)
+
+
+def _fit_factors(rows: DataFrame, categorical: list[str], continuous: list[str], label: str, seed: int, vectors: tuple[str, ...],
+                 tables: dict[str, DataFrame], key: str) -> FittedRanker:
+    sides, carried = None, list(vectors)
+    rows = rows.select(label, *categorical, *continuous, *([key] if tables else vectors))
+    if tables:
+        vectors, carried = tuple(tables), ["_side"]
+        sides = store(_sides(tables, key).withColumn("_side", F.monotonically_increasing_id()), "sides")
+        rows = rows.join(sides.select(key, "_side"), key, "left").drop(key)
+    rows = store(rows, "training")
+    told = rows.agg(F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in categorical]).first()
+    one = (sides if tables else rows).select(*[F.size(v).alias(v) for v in vectors]).first() if vectors else ()
+    widths = tuple(one) if one else tuple(DIM for _ in vectors)
+    layout = Layout({c: (-1 if told[c] is None else int(told[c])) + 2 for c in categorical}, len(continuous), widths)
+    numbers = Pipeline(stages=_numbers(continuous)).fit(rows)
+    ready = numbers.transform(rows).select(
+        F.col(label).cast("double").alias("label"), F.array(*[layout.place(c) for c in categorical]).alias("codes"),
+        vector_to_array("scaled").alias("numbers"), *carried,
+    )
+    fitted = factors.fit(ready, layout, vectors, sides, told.n, seed)
+    return FittedRanker(numbers, FactorModel(layout, fitted, vectors), tables, key)
 
 
 _DENSE = "_dense"
@@ -192,9 +253,18 @@ def _dense(rows: DataFrame, columns: Iterable[str]) -> DataFrame:
     return rows.withColumns({f"{c}{_DENSE}": array_to_vector(F.col(c).cast("array<double>")) for c in columns})
 
 
-def predict(model: PipelineModel, rows: DataFrame, score: str = "score") -> DataFrame:
+def predict(model: PipelineModel | FittedRanker, rows: DataFrame, score: str = "score") -> DataFrame:
     """Probability of a click for every row."""
     columns = rows.columns
+    if isinstance(model, FittedRanker):
+        scaled, sums = model.numbers.transform(rows).withColumn("_numbers", vector_to_array("scaled")), None
+        if model.tables:
+            # an item's vectors are summed up once, whatever rows name it
+            per_item = _sides(model.tables, model.key).select(model.key, model.factors.vector_sums(*model.tables).alias("_sums"))
+            scaled, sums = scaled.join(store(per_item, "sides"), model.key, "left"), "_sums"
+        elif model.factors.vectors:
+            scaled, sums = scaled.withColumn("_sums", model.factors.vector_sums(*model.factors.vectors)), "_sums"
+        return model.factors.score(scaled, "_numbers", sums).select(*columns, F.round("_score", 6).alias(score))
     inputs = [c for stage in model.stages if isinstance(stage, VectorAssembler) for c in stage.getInputCols()]
     scored = model.transform(_dense(rows, [c.removesuffix(_DENSE) for c in inputs if c.endswith(_DENSE)]))
     return scored.select(*columns, F.round(F.get(vector_to_array("probability"), F.lit(1)), 6).alias(score))

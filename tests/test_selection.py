@@ -136,6 +136,40 @@ def test_ranker_weighs_codes_and_vectors(spark):
     assert auc(models.predict(model, df)).first().auc > 0.75
 
 
+def test_ranker_in_blocks_is_the_factorisation_machine_of_spark(spark, monkeypatch):
+    """Parameters and rows in many blocks give the scores of Spark's own model, which holds all of them in the driver."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import FMClassifier
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+
+    from curlew.operators import factors
+    from curlew.operators.vectors import lookup_embeddings
+
+    rng = random.Random(8)
+    rows = [(float(rng.random() < 0.4), rng.randrange(700), rng.randrange(40), rng.choice([None, rng.gauss(3, 2)]), rng.choice([None, rng.randrange(60)])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "label double, item int, user int, x double, idx bigint").repartition(3)
+    # item 7 comes twice, others lack one or both vectors
+    table = lambda ids, n: spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(n)]) for i in ids], "idx bigint, embedding array<float>")
+    tables = {"a": table([*range(50), 7], 64).cache(), "b": table(range(30), 64).cache()}
+    monkeypatch.setattr(factors, "ROW_BLOCK", 300)
+    monkeypatch.setattr(factors, "PARAMETER_BLOCK", 400)
+    monkeypatch.setattr(factors, "SMALL", 100)
+    model = models.fit_ranker(df, ["item", "user"], ["x"], tables=tables, key="idx")
+    new = df.withColumn("item", F.when(F.col("item") % 50 == 0, 5000).otherwise(F.col("item")))
+    columns = ["item", "user", "x", "idx"]
+    found = sorted(tuple(r) for r in models.predict(model, new).select(*[F.coalesce(c, F.lit(-1)) for c in columns], "score").collect())
+
+    wide = models._dense(lookup_embeddings(df, tables, "idx"), tables)
+    codes = OneHotEncoder(inputCols=["item", "user"], outputCols=["i", "u"], handleInvalid="keep", dropLast=False)
+    joined = VectorAssembler(inputCols=["i", "u", "scaled", "a_dense", "b_dense"], outputCol="features")
+    spark_model = Pipeline(stages=[*models._numbers(["x"]), codes, joined, FMClassifier(factorSize=8, maxIter=15, stepSize=0.05, seed=42)]).fit(wide)
+    scored = models.predict(spark_model, lookup_embeddings(new, tables, "idx")).select(*[F.coalesce(c, F.lit(-1)) for c in columns], "score")
+    expected = sorted(tuple(r) for r in scored.collect())
+    assert len(found) == len(expected) > 900
+    assert [r[:4] for r in found] == [r[:4] for r in expected]
+    assert np.allclose([r[4] for r in found], [r[4] for r in expected], atol=3e-6)
+
+
 def test_retrieval_with_ids_beyond_32_bits(spark):
     rng = random.Random(6)
     far = 2**40
