@@ -208,3 +208,29 @@ def test_recommendations_leave_out_seen_items(spark, sf):
     seen = active_seen(behavior_queries.touches(spark, sf), views.AS_OF_US, DAY, behavior_queries.flushes(spark, sf))
     recs = ranking_queries.recommend_batch(spark, sf)
     assert recs.count() == filter_seen(recs, seen).count()
+
+
+def test_text_vectors_are_filled_in_batches(spark):
+    """Repeated ids join, null and empty texts have no tokens, and no map is searched for each of the places."""
+    import hashlib
+    import re
+
+    from curlew.operators import encode
+
+    texts = [(1, "One two, two"), (1, "three ONE"), (2, None), (3, ""), (4, "a-b \u212a \u0130x"), (None, "lost one")]
+    rows = spark.createDataFrame(texts, "item_id bigint, product_description string")
+    expected = {}
+    for i, text in texts:
+        for token in re.split(encode.SEPARATORS, (text or "").lower()):
+            if token:
+                key = i, int(hashlib.md5(f"{token}:bucket".encode()).hexdigest()[:8], 16) % 16
+                expected[key] = expected.get(key, 0) + 1
+    found = encode.token_buckets(rows, 16)
+    assert {(r.item_id, r.bucket): r.tf for r in found.collect()} == expected
+    sparse = encode.encode_text(rows, 16)
+    dense = encode.dense_vectors(sparse, 16)
+    assert "try_element_at" not in dense._jdf.queryExecution().toString()
+    weights = {(r.item_id, r.bucket): r.weight for r in sparse.collect()}
+    for r in dense.collect():
+        assert np.allclose(r.embedding, [weights.get((r.item_id, b), 0.0) for b in range(16)])
+    assert dense.count() == len({i for i, _ in expected})
