@@ -21,7 +21,7 @@ from curlew.operators.factors import FACTORS, STEP_SIZE, STEPS, FactorModel, Lay
 from curlew.operators.popularity import group_counts
 from curlew.operators.rowindex import with_row_index
 from curlew.operators.vectors import lookup_embeddings
-from curlew.session import store
+from curlew.session import allow_checkpoints, store
 
 ALPHA, REGULARIZATION = 10.0, 0.1
 FOLD_ROWS = 2048
@@ -38,9 +38,11 @@ def fit_retrieval(interactions: DataFrame, rank: int = 64, seed: int = 42, itera
     counts = counts.select(
         F.col("user_id_short").cast("int").alias("user"), F.col("item_id_short").cast("int").alias("item"), F.col("n").cast("float").alias("rating")
     )
+    # each round shuffles every vector to every block; a checkpoint lets go of the files of the rounds before it
+    allow_checkpoints(interactions.sparkSession)
     model = ALS(
         rank=rank, maxIter=iterations, regParam=REGULARIZATION, alpha=ALPHA, implicitPrefs=True, seed=seed,
-        userCol="user", itemCol="item", ratingCol="rating",
+        userCol="user", itemCol="item", ratingCol="rating", checkpointInterval=1,
     ).fit(counts)
 
     def named(factors: DataFrame, ids: DataFrame | None, column: str, vector: str) -> DataFrame:

@@ -75,3 +75,17 @@ def test_fill_puts_seen_items_last(spark, world):
 def test_list_length(spark):
     rows = spark.createDataFrame([(None,), (0,), (3,), (10,), (11,), (-1,), (-10,), (-11,)], "top_k int")
     assert [r[0] for r in rows.select(list_length(F.col("top_k"), 10)).collect()] == [10, 0, 3, 10, 10, 9, 0, 0]
+
+
+def test_rounds_of_factorisation_do_not_pile_up(spark):
+    """Files of a shuffle stay as long as a lineage names them, so vectors must not remember the rounds before theirs."""
+    from curlew.operators import models
+
+    rows = spark.range(400).selectExpr("id % 40 AS user_id", "id * 7 % 31 AS item_id")
+    shuffles = []
+    for iterations in (2, 6):
+        _, item_vectors = models.fit_retrieval(rows, rank=4, iterations=iterations)
+        lineage = item_vectors.rdd._jrdd.rdd().toDebugString()
+        assert item_vectors.count() == 31
+        shuffles.append(lineage.count("ShuffledRDD"))
+    assert shuffles[0] == shuffles[1]
