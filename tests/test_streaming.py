@@ -229,3 +229,20 @@ def test_state_stores_share_one_bound(spark):
     with settings(spark, STREAMING):
         assert spark.conf.get(name) == "true" and int(spark.conf.get(name.replace("boundedMemoryUsage", "maxMemoryUsageMB"))) <= 1000
     assert spark.conf.get(name, None) in (None, "false")
+
+
+def test_a_touch_is_sent_once(spark):
+    from curlew.streaming.recent import TOUCH, combined
+
+    rows = spark.range(30).selectExpr("1L AS user_id", "id AS item_id", f"id * {DAY} + 5 AS ts_us", f"{TOUCH} AS kind").coalesce(1)
+    sent = combined(rows, DAY).collect()
+    assert sorted((r.item_id, r.ts_us, r.kind) for r in sent) == [(i, i * DAY + 5, TOUCH) for i in range(30)]
+
+
+def test_users_reach_the_state_step_together(spark):
+    """Rows, states and results travel in Arrow batches of many users, not a value or a call to the store at a time."""
+    from curlew.streaming.recent import changes
+
+    raw = spark.readStream.format("rate").load().selectExpr("value AS user_id", "value AS item_id", "value AS ts_us", "0 AS kind")
+    plan = changes(raw, DAY, "1 hour")._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "EventTimeTimeout" in plan
