@@ -19,7 +19,9 @@ def events(spark, sf) -> DataFrame:
 
 
 def command_stream(spark, sf) -> DataFrame:
-    return views.shape_commands(events(spark, sf))
+    """The commands, dealt to all cores before they are parsed: a file of few row groups is read by as few tasks."""
+    dealt = events(spark, sf).repartition(spark.sparkContext.defaultParallelism, "event_id", "ts")
+    return views.shape_commands(dealt)
 
 
 @query("stream_route_commands", "SELECT event_id, user_id, action, device_type FROM routed UNION ALL SELECT event_id, NULL, 'reject', -1 FROM parsed WHERE reason = 'invalid_json' "

@@ -246,3 +246,15 @@ def test_users_reach_the_state_step_together(spark):
     raw = spark.readStream.format("rate").load().selectExpr("value AS user_id", "value AS item_id", "value AS ts_us", "0 AS kind")
     plan = changes(raw, DAY, "1 hour")._jdf.queryExecution().analyzed().toString()
     assert "FlatMapGroupsInPandasWithState" in plan and "EventTimeTimeout" in plan
+
+
+def test_commands_are_parsed_by_all_cores(spark, sf):
+    """The events are one file of one row group, which one task reads."""
+    from curlew.queries.streams import command_stream
+
+    def task(batch, batch_id):
+        tasks.append(batch.select(F.spark_partition_id().alias("task")).distinct().count())
+
+    tasks = []
+    streams.run_batches(command_stream(spark, sf).select("event_id", "body"), task, scratch_path(spark, "dealt"))
+    assert tasks[0] == spark.sparkContext.defaultParallelism
