@@ -155,8 +155,9 @@ def mix_sources(
     whole = F.slice("listed", (F.col("start") + 1).cast("int"), F.greatest(F.lit(0), F.col("to") - F.col("from")).cast("int"))
     pieces = pieces.withColumn("piece", F.array_join(whole, " ")).drop("listed")
     cut = F.array_join(F.slice(F.split("piece", " "), F.lit(1), F.col("n_words").cast("int")), " ")
+    # many slots come from few bytes of runs, so no estimate knows their size, and a broadcast would gather them all in the driver
     return (
-        pieces.join(placed_slots, ["rank", "block"], "left")
+        pieces.join(placed_slots.hint("merge"), ["rank", "block"], "left")
         .withColumn("n_words", F.coalesce(taken, F.lit(0)).cast("bigint"))
         .select(
             F.when(F.col("n_words") > 0, F.col("shard")).alias("shard"),

@@ -83,6 +83,12 @@ def test_mix_meets_targets(spark, sf):
     assert all(out["size"][i] == sizes[i] and out.taken[i] <= 3 * sizes[i] for i in sizes)
 
 
+def test_mix_does_not_gather_its_slots(docs):
+    plan = mix_sources(docs, block=2)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[rank#\d+L?, block#\d+L?\]", plan)
+    assert not re.search(r"BroadcastHashJoin \[rank#\d+L?, block#\d+L?\]", plan)
+
+
 def test_mix_pieces_are_the_documents_words(spark, docs):
     pieces = mix_sources(docs, block=7, shard_slots=5).filter("n_words > 0").toPandas()
     again = mix_sources(docs, block=7, shard_slots=5).filter("n_words > 0").toPandas()
