@@ -89,3 +89,21 @@ def test_rounds_of_factorisation_do_not_pile_up(spark):
         assert item_vectors.count() == 31
         shuffles.append(lineage.count("ShuffledRDD"))
     assert shuffles[0] == shuffles[1]
+
+
+def test_catalog_of_many_rows_is_not_broadcast(spark, tmp_path, monkeypatch):
+    from curlew.operators import joins
+    from curlew.operators.popularity import top_category
+
+    spark.range(1000).selectExpr("id AS item_id", "CAST(id % 3 AS INT) AS category_l1").write.parquet(f"{tmp_path}/items")
+    seen = spark.createDataFrame([(1, 1), (1, 4), (1, 2), (2, 2), (3, None)], "user_id bigint, item_id bigint")
+
+    def result():
+        top = top_category(seen, spark.read.parquet(f"{tmp_path}/items"))
+        return {(r.user_id, r.top_category) for r in top.collect()}, top._jdf.queryExecution().executedPlan().toString()
+
+    rows, plan = result()
+    assert rows == {(1, 1), (2, 2)} and "BroadcastHashJoin" in plan
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 999)
+    rows, plan = result()
+    assert rows == {(1, 1), (2, 2)} and "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
