@@ -20,12 +20,11 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curlew.session import scratch_root, store
+from curlew.session import allow_checkpoints, drop_checkpoint, drop_shuffles, store
 
 FACTORS, STEPS, STEP_SIZE, START_DEVIATION = 8, 15, 0.05, 0.01
 ROW_BLOCK, PARAMETER_BLOCK = 131_072, 16_384
 SMALL = 4096  # columns with up to this many codes are scored without a join
-KEPT_STEPS = 5  # from one stored state of the parameters to the next
 
 
 @dataclass(frozen=True)
@@ -275,16 +274,18 @@ def fit(rows: DataFrame, layout: Layout, vectors: tuple[str, ...], sides: DataFr
 
         return run
 
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_root(spark))
+    allow_checkpoints(spark)
     held = _start(spark, layout, seed, n_held).persist(StorageLevel.MEMORY_AND_DISK)
     for step in range(1, STEPS + 1):
         messages = held.cogroup(links, numPartitions=n_held).flatMap(sent).partitionBy(n_blocks)
         gradients = blocks.cogroup(messages, numPartitions=n_blocks).flatMap(answered).partitionBy(n_held)
-        fresh = held.groupWith(links, gradients).mapValues(stepped(step)).persist(StorageLevel.MEMORY_AND_DISK)
-        if step % KEPT_STEPS == 0:
-            fresh.checkpoint()
+        met = held.groupWith(links, gradients)
+        fresh = met.mapValues(stepped(step)).persist(StorageLevel.MEMORY_AND_DISK)
+        # a step sends every block its parameters; once its outcome is stored, its files and those of the state before it can go
+        fresh.checkpoint()
         fresh.count()
+        drop_shuffles(met)
+        drop_checkpoint(held)
         held.unpersist()
         held = fresh
 
@@ -293,6 +294,9 @@ def fit(rows: DataFrame, layout: Layout, vectors: tuple[str, ...], sides: DataFr
         return ((p * PARAMETER_BLOCK + i, t) for i, t in enumerate(theta.tolist()))
 
     fitted = store(spark.createDataFrame(held.flatMap(listed), "feature bigint, theta array<double>"), "parameters")
+    drop_checkpoint(held)
+    for rdd in (links, blocks):
+        drop_shuffles(rdd)
     for rdd in (held, links, blocks):
         rdd.unpersist()
     return fitted

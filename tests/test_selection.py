@@ -170,6 +170,33 @@ def test_ranker_in_blocks_is_the_factorisation_machine_of_spark(spark, monkeypat
     assert np.allclose([r[4] for r in found], [r[4] for r in expected], atol=3e-6)
 
 
+def test_steps_of_the_ranker_leave_no_files(spark):
+    """What a step sends, and the state before it, are deleted once its outcome is stored."""
+    import pathlib
+    import re
+
+    from curlew.session import allow_checkpoints
+
+    allow_checkpoints(spark)
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    folder = pathlib.Path(re.sub("^file:", "", spark.sparkContext.getCheckpointDir()))
+
+    def shuffles():
+        files = env.blockManager().diskBlockManager().getAllFiles().iterator()
+        names = []
+        while files.hasNext():
+            names.append(files.next().getName())
+        return {int(m[1]) for n in names if (m := re.match(r"shuffle_(\d+)_", n))}
+
+    rng = random.Random(5)
+    df = spark.createDataFrame([(float(rng.random() < 0.4), rng.randrange(70), rng.gauss(3, 2)) for _ in range(300)], "label double, item int, x double")
+    last, stored = max(shuffles(), default=-1), set(folder.iterdir())
+    model = models.fit_ranker(df, ["item"], ["x"])
+    assert len([s for s in shuffles() if s > last]) < 20  # 15 steps send parameters and gradients
+    assert set(folder.iterdir()) <= stored
+    assert models.predict(model, df).count() == 300
+
+
 def test_retrieval_with_ids_beyond_32_bits(spark):
     rng = random.Random(6)
     far = 2**40
