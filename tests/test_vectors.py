@@ -234,3 +234,36 @@ def test_text_vectors_are_filled_in_batches(spark):
     for r in dense.collect():
         assert np.allclose(r.embedding, [weights.get((r.item_id, b), 0.0) for b in range(16)])
     assert dense.count() == len({i for i, _ in expected})
+
+
+def test_search_multiplies_few_pairs_in_double_precision(monkeypatch):
+    """Single precision only rules pairs out: near ties, huge vectors and ones without a length come out as in double precision."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    items = rng.normal(size=(6000, 16)).astype(np.float32)
+    items[3000:4000] = items[:1000] * np.float32(1 + 1e-7)
+    queries = rng.normal(size=(300, 16)).astype(np.float32)
+    masks = [np.packbits(rng.random(12) < 0.7).tobytes() for _ in queries]
+
+    def search(queries, items):
+        rows = lambda x: pa.array(list(x), pa.list_(pa.float32()))
+        asked = pa.table({"request_id": np.arange(len(queries)), "qvec": rows(queries), "cells": pa.array(masks, pa.binary()), "floor": pa.nulls(len(queries), pa.float64())})
+        held = pa.table({"item_id": np.arange(len(items)), "embedding": rows(items), "place": (np.arange(len(items)) % 12).astype(np.int32)})
+        return vectors._stripe_search(10)(asked, held).to_pydict()
+
+    exact, pairs = vectors._products, []
+    monkeypatch.setattr(vectors, "_products", lambda a, b: (pairs.append(len(a)), exact(a, b))[1])
+    odd = items.copy()
+    odd[5, 3], odd[7], odd[9, 0] = np.nan, 3e38, np.inf
+    found = [search(queries, items)]
+    assert sum(pairs) < 300 * 6000 / 20
+    found.append(search(queries, odd))
+    monkeypatch.setattr(vectors, "SINGLE_LIMIT", 0.0)
+    for one, x in zip(found, (items, odd), strict=True):
+        assert one == search(queries, x)
+    cells = np.stack([np.unpackbits(np.frombuffer(m, np.uint8))[:12].astype(bool) for m in masks])
+    scores = np.round(queries.astype(float) @ items.astype(float).T, 6)
+    scores[~cells[:, np.arange(6000) % 12]] = -np.inf
+    best = [np.lexsort((np.arange(6000), -s))[:10] for s in scores]
+    assert found[0]["item_id"] == list(np.concatenate(best))
